@@ -128,9 +128,15 @@ def fold_with_offsets(text: str) -> tuple[str, list[int] | None]:
     """The form of a text, and for each of its characters where it began in the text (None: unmoved)."""
     if text.isascii():
         return text, None
-    cluster, _, special = _compiled()
+    cluster, marks, special = _compiled()
     if special.isdisjoint(text):
         return text, None
+    if marks.isdisjoint(text):
+        m, here = mapping(), special.intersection(text)
+        if all(len(m[c]) == 1 for c in here):
+            for c in here:
+                text = text.replace(c, m[c])
+            return text, None
     out: list[str] = []
     at: list[int] = []
     last = 0
