@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import lookalike, private
+from . import copies, lookalike, private, topn
 
 MAIN = "sva_dom_edu_wraps_head"
 
@@ -24,6 +24,13 @@ def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
     return private.redact(table(spark, d, MAIN).select("row_id", "query"), "query", "redacted", PSEUDONYM_KEY)
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, MAIN).where("surface is not null and own_run is not null and pv > 0 and not isnan(pv)")
+    once = topn.first_delivery(rows, "rec_key", "row_id", ["pv", "rank", "surface", "own_run"])
+    order = [F.col("pv").desc(), F.col("rank").asc_nulls_last(), F.col("row_id").asc()]
+    return topn.top_n(once, ["surface", "own_run"], order, 3, ["row_id", "pv", "rank"]).select("surface", "own_run", "row_id", "place")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.find_disguised(table(spark, d, MAIN), "query", "nn_query").select("row_id")
 
@@ -33,5 +40,13 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(rows, {"query": "query_form", "nn_query": "nn_query_form"})
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return copies.find_copies(table(spark, d, MAIN).select("row_id", "own_run", "pv", "query"), "row_id", ["own_run", "pv"], "query")
+
+
+def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
+    return copies.collapse(table(spark, d, MAIN).select("row_id", "own_run", "pv", "query"), "row_id", ["own_run", "pv"], "query")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
