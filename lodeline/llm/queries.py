@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import copies, lookalike, private, topn
+from . import clusters, copies, lookalike, private, topn
 
 MAIN = "sva_dom_edu_wraps_head"
 
@@ -48,5 +48,13 @@ def p6_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return copies.collapse(table(spark, d, MAIN).select("row_id", "own_run", "pv", "query"), "row_id", ["own_run", "pv"], "query")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.find_members(table(spark, d, MAIN), "row_id", "own_run", "query", "core", "own_leaf")
+
+
+def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.describe(table(spark, d, MAIN), "row_id", "own_run", "query", "core", "own_leaf")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
