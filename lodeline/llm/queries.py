@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import clusters, copies, lookalike, private, topn
+from . import clusters, consensus, copies, lookalike, private, topn
 
 MAIN = "sva_dom_edu_wraps_head"
 
@@ -31,6 +31,24 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(once, ["surface", "own_run"], order, 3, ["row_id", "pv", "rank"]).select("surface", "own_run", "row_id", "place")
 
 
+def _label_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "edu_label_votes"), table(spark, d, MAIN), table(spark, d, "edu_crosswalk")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.found(*_label_tables(spark, d)).select("row_id", "u_code")
+
+
+def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.found(*_label_tables(spark, d)).select("row_id", "u_code", F.round("confidence", 6).alias("confidence"), F.round("agreement", 6).alias("agreement"), "n_labels")
+
+
+def p3_reliability(spark: SparkSession, d: str) -> DataFrame:
+    votes, main, crosswalk = _label_tables(spark, d)
+    _, m = consensus.solve(votes, main, crosswalk)
+    return consensus.reliability(m, votes, [f"U{k + 1:02d}" for k in range(consensus.CLASSES)])
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.find_disguised(table(spark, d, MAIN), "query", "nn_query").select("row_id")
 
