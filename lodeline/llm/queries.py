@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
-from . import clusters, consensus, copies, lookalike, private, topn
+from ..session import materialise, table
+from . import clusters, consensus, copies, lookalike, mixing, private, tokens, topn
 
 MAIN = "sva_dom_edu_wraps_head"
 
@@ -74,5 +74,33 @@ def p7_clusters(spark: SparkSession, d: str) -> DataFrame:
     return clusters.describe(table(spark, d, MAIN), "row_id", "own_run", "query", "core", "own_leaf")
 
 
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.decode(p8_ids(spark, d), "doc_id", "ids")
+
+
+def _mixed(spark: SparkSession, d: str, budget: float | str | None = None) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text").join(F.broadcast(targets.select("source")), "source", "left_semi")
+    sized = materialise(tokens.count(docs, "text", "n_tokens").select("doc_id", "source", "n_tokens"))
+    return mixing.mix(sized, "source", "n_tokens", "doc_id", targets, budget)
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[0].select("doc_id", "source", "n_tokens", "copies")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)[1]
+
+
+def p9_shares_all_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The shares when the mix must have as many tokens as all listed sources together."""
+    return _mixed(spark, d, "all")[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
