@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, table
-from . import clusters, consensus, copies, lookalike, mixing, private, tokens, topn
+from . import clusters, consensus, copies, lookalike, mixing, neighbours, private, tokens, topn
 
 MAIN = "sva_dom_edu_wraps_head"
 
@@ -58,6 +58,14 @@ def p4_unified(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.unify(rows, {"query": "query_form", "nn_query": "nn_query_form"})
 
 
+def p5_similar(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar(table(spark, d, "edu_query_vectors"), "vec_id", "vec", 64, 5, 0.8)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_similar(spark, d).select("vec_id", "place", "nn_vec_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.find_copies(table(spark, d, MAIN).select("row_id", "own_run", "pv", "query"), "row_id", ["own_run", "pv"], "query")
 
