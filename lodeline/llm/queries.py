@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialise, table
-from . import clusters, consensus, copies, lookalike, mixing, neighbours, private, tokens, topn
+from . import clusters, consensus, copies, language, lookalike, mixing, neighbours, private, tokens, topn
 
 MAIN = "sva_dom_edu_wraps_head"
 
@@ -110,5 +110,13 @@ def p9_shares_all_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d, "all")[1]
 
 
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    return language.judge_rows(table(spark, d, "documents"), "doc_id", "text", "lang").select("doc_id", "segment", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.find_wrong(language.judge_rows(table(spark, d, "documents"), "doc_id", "text", "lang")).select("doc_id", "segment", "lang")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(f)}
