@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+MAIN = "sva_dom_edu_wraps_head"
+
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
@@ -26,9 +29,24 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
+def r6(df: DataFrame, *names: str) -> DataFrame:
+    """Round the named columns to six decimals, for comparison."""
+    return df.select(*[F.round(F.col(c).cast("double"), 6).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
+def _load() -> None:
+    from . import compare_queries, label_queries, mine_queries, prepare_queries, relational_queries, vector_queries  # noqa: F401
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    return queries()["class_movement_two_periods"](spark, d)
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
