@@ -96,5 +96,8 @@ def tokens(c: Column, how: str = "words") -> Column:
 def grams(c: Column, shortest: int, longest: int) -> Column:
     """All substrings of a text of the given lengths, in characters."""
     n = F.length(c)
-    per = [F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i, k=k: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in range(shortest, longest + 1)]
-    return F.flatten(F.array(*per))
+
+    def of(k: int) -> Column:
+        return F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+
+    return F.flatten(F.array(*[of(k) for k in range(shortest, longest + 1)]))
