@@ -188,7 +188,7 @@ def similar(df: DataFrame, vec_id: str, vec: str, dim: int, k: int, least: float
     cut = cut.withColumn("query", F.pmod(F.xxhash64("id"), F.col("blocks")) == F.col("block")).select("list", "block", "value", "id", "vec", "query")
     pairs = cut.repartition("list", "block").sortWithinPartitions("list", "block", "value").mapInArrow(_windows(dim, k, least), _PAIR)
     found = pairs.groupBy("a", "b").agg(F.round(F.max("cosine"), 6).alias("similarity"), F.count("*").alias("collisions"))
-    found = found.where((F.col("similarity") >= least) & (F.col("collisions") >= THRESHOLD))
+    found = materialise(found.where((F.col("similarity") >= least) & (F.col("collisions") >= THRESHOLD)))
     # only vectors that occur more than once need their other ids
     twins = packed.join(groups.where("n > 1"), "same", "left_semi")
     first = top_n(twins, ["same"], [F.col("id").asc()], k + 1, ["id"]).select("same", "id").join(groups.select("same", "rep"), "same")
