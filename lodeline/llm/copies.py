@@ -36,8 +36,8 @@ FIELDED = rf"^{_FIELD}(?:[;；,，\n]+{_FIELD})+[;；,，\n\s]*$"
 
 
 def _plain(c: Column) -> Column:
-    """Upper and then lower case, so that letters with several forms (such as sharp s) meet."""
-    return F.regexp_replace(F.lower(F.upper(c)), IGNORED, "")
+    """Without what is ignored, in lower case; upper case first, so that letters with several small forms meet, sharp s as its capitals."""
+    return F.regexp_replace(F.lower(F.upper(F.regexp_replace(c, "[ßẞ]", "ss"))), IGNORED, "")
 
 
 def canonical(text: Column) -> Column:

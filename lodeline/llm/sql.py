@@ -2,6 +2,29 @@
 
 from __future__ import annotations
 
+MAIN = "sva_dom_edu_wraps_head"
+
+_P2 = f"""
+with once as (select * from (select *, row_number() over (partition by rec_key order by row_id) d from {MAIN} where surface is not null and own_run is not null and pv > 0 and not isnan(pv)) where d = 1),
+r as (select surface, own_run, row_id, row_number() over (partition by surface, own_run order by pv desc, rank asc nulls last, row_id) place from once)
+select surface, own_run, row_id, place from r where place <= 3"""
+
+_IGNORED = r"[\p{P}\p{Z}\p{C}]+"
+_FIELD = r"[^:：;；,，\n]+[:：][^:：;；,，\n]+"
+
+
+def _plain(c: str) -> str:
+    return f"regexp_replace(lower(upper(replace(replace({c}, 'ß', 'ss'), 'ẞ', 'ss'))), '{_IGNORED}', '', 'g')"
+
+
+_P6 = rf"""
+with t as (select row_id, own_run, pv, query, regexp_replace(query, '^[\p{{P}}\p{{Z}}\p{{C}}]+|[\p{{P}}\p{{Z}}\p{{C}}]+$', '', 'g') trimmed from {MAIN} where query is not null and own_run is not null and pv is not null and not isnan(pv)),
+f as (select *, case when regexp_matches(trimmed, '^{_FIELD}(?:[;；,，\n]+{_FIELD})+[;；,，\n\s]*$') then
+  '|' || array_to_string(list_sort(list_transform(list_filter(string_split_regex(trimmed, '[;；,，\n]+'), lambda x: length({_plain('x')}) > 0), lambda x: {_plain("regexp_extract(x, '^([^:：]*)', 1)")} || '=' || {_plain("regexp_extract(x, '[:：](.*)$', 1)")})), '|')
+  else {_plain('query')} end form from t),
+g as (select row_id, min(row_id) over (partition by own_run, pv, form) first_row_id from f where form <> '')
+select first_row_id, row_id from g where first_row_id <> row_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p2_found": _P2, "p6_found": _P6}
