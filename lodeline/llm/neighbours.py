@@ -44,7 +44,7 @@ SEED = 20240711
 
 
 def side_for(n: int) -> int:
-    return int(min(2048, max(2, math.ceil(math.sqrt(n * KEPT / (4 * PER_LIST))) * 2)))
+    return int(min(2048, max(2, math.ceil(math.sqrt(n * KEPT / (4 * PER_LIST))))))
 
 
 def _grids(dim: int, side: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
