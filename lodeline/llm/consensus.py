@@ -178,26 +178,33 @@ def u_code(k: Column) -> Column:
 
 
 def all_labels(votes: DataFrame, main: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """(item, annotator, code) of the voted rows, by people and by the three labellers of the main table."""
+    """(item, annotator, code) of every row, by people and by the three labellers of the main table."""
     people = latest(votes.select("row_id", "annotator", read_code(F.col("u_code")).alias("code"), "voted_at", "vote_id"), "row_id", "annotator", "code", "voted_at", "vote_id")
-    voted = votes.where("row_id is not null").select(F.col("row_id").alias("item")).distinct()
     walk = F.broadcast(crosswalk.select(F.upper(F.trim("own_code")).alias("_own"), read_code(F.col("u_code")).alias("_code")))  # a fixed table of codes
-    m = main.select(F.col("row_id").alias("item"), "u_ds", "u_qw", F.upper(F.trim("own_code")).alias("_own")).join(voted, "item", "left_semi").join(walk, "_own", "left")
+    m = main.where("row_id is not null").select(F.col("row_id").alias("item"), "u_ds", "u_qw", F.upper(F.trim("own_code")).alias("_own")).join(walk, "_own", "left")
     machine = m.select("item", F.explode(F.array(*[F.struct(F.lit(f"labeller:{n}").alias("annotator"), c.alias("code")) for n, c in (("u_ds", read_code(F.col("u_ds"))), ("u_qw", read_code(F.col("u_qw"))), ("own_code", F.col("_code")))])).alias("l")).select("item", "l.annotator", "l.code")
     return people.unionByName(machine.where("code is not null"))
 
 
 def solve(votes: DataFrame, main: DataFrame, crosswalk: DataFrame) -> tuple[DataFrame, Mixture]:
-    """Packed labels of every voted row and the fitted mixture."""
+    """Packed labels of every labelled row and the mixture fitted on all of them."""
     labels = materialise(all_labels(votes, main, crosswalk))
     packed, names = pack(labels)
     packed = materialise(packed)
     return packed, fit(packed, names, CLASSES)
 
 
-def found(votes: DataFrame, main: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """Per voted row: row_id, u_code, confidence, agreement, n_labels."""
+def _report(rows: DataFrame, votes: DataFrame, main: DataFrame, crosswalk: DataFrame) -> DataFrame:
     packed, m = solve(votes, main, crosswalk)
     done = decide(packed, m)
-    voted = votes.where("row_id is not null").select("row_id").distinct()
-    return voted.join(done.withColumnRenamed("item", "row_id"), "row_id", "left").select("row_id", u_code(F.col("label")).alias("u_code"), "confidence", "agreement", F.coalesce("n_labels", F.lit(0)).alias("n_labels"))
+    return rows.join(done.withColumnRenamed("item", "row_id"), "row_id", "left").select("row_id", u_code(F.col("label")).alias("u_code"), "confidence", "agreement", F.coalesce("n_labels", F.lit(0)).alias("n_labels"))
+
+
+def judge(votes: DataFrame, main: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """Per row of the main table or of the votes: row_id, u_code, confidence, agreement, n_labels."""
+    return _report(main.select("row_id").unionByName(votes.select("row_id")).where("row_id is not null").distinct(), votes, main, crosswalk)
+
+
+def found(votes: DataFrame, main: DataFrame, crosswalk: DataFrame) -> DataFrame:
+    """What :func:`judge` says, for voted rows alone."""
+    return _report(votes.where("row_id is not null").select("row_id").distinct(), votes, main, crosswalk)

@@ -40,7 +40,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return consensus.found(*_label_tables(spark, d)).select("row_id", "u_code", F.round("confidence", 6).alias("confidence"), F.round("agreement", 6).alias("agreement"), "n_labels")
+    return consensus.judge(*_label_tables(spark, d)).select("row_id", "u_code", F.round("confidence", 6).alias("confidence"), F.round("agreement", 6).alias("agreement"), "n_labels")
 
 
 def p3_reliability(spark: SparkSession, d: str) -> DataFrame:

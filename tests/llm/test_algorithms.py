@@ -52,6 +52,18 @@ def test_consensus_recovers_truth_and_competence(spark):
     assert consensus.found(v.limit(0), main, walk).count() == 0
 
 
+def test_consensus_covers_rows_without_votes(spark):
+    v = spark.createDataFrame([(1, 1, "a", "U01", 1)], "vote_id long, row_id long, annotator string, u_code string, voted_at int")
+    main = spark.createDataFrame([(1, "u1", None, None), (2, "U02", "u2", "E03"), (3, None, "zz", None), (4, None, None, "e03")], "row_id long, u_ds string, u_qw string, own_code string")
+    walk = spark.createDataFrame([("E03", "U03")], "own_code string, u_code string")
+    got = {r.row_id: r for r in consensus.judge(v, main, walk).collect()}
+    assert set(got) == {1, 2, 3, 4} and [got[i].n_labels for i in (1, 2, 3, 4)] == [2, 3, 0, 1]
+    assert got[2].u_code and abs(got[2].agreement - 1 / 3) < 1e-9 and got[3].u_code is None and got[4].u_code
+    assert {r.row_id for r in consensus.found(v, main, walk).collect()} == {1}
+    _, m = consensus.solve(v, main, walk)
+    assert dict(zip(m.annotators, m.n_labels)) == {"a": 1, "labeller:own_code": 2, "labeller:u_ds": 2, "labeller:u_qw": 1}
+
+
 def test_latest_vote_counts(spark):
     v = spark.createDataFrame([(1, 5, "a", 0, 10), (2, 5, "a", 1, 20), (3, 5, "a", 2, 20)], "vote_id long, row_id long, annotator string, code int, at int")
     assert [r.code for r in consensus.latest(v, "row_id", "annotator", "code", "at", "vote_id").collect()] == [2]
