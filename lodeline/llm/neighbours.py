@@ -12,8 +12,10 @@ query. In the tail one collision is already rare for vectors that are not simila
 lie (a matrix product); collisions of verified pairs are counted over all lists.
 
 ``side`` grows with the root of the number of vectors, so lists keep their length and the
-work grows in proportion. Vectors equal in every number are one vector in the lists: of
-their ids only the k + 1 smallest can be results, all others inherit. Lists above
+work grows in proportion. Vectors whose unit vectors are equal in every bit are one vector
+in the lists: of their ids only the k + 1 smallest can be results, all others inherit.
+Vectors of one direction whose unit vectors differ in the last bits stay apart, as their
+rounded cosines may differ; each list ranks all of them, which is quadratic in their number. Lists above
 ``LIST`` vectors are cut into blocks of queries, each a task of its own.
 
 Vectors that are null, zero, of another length or hold NaN or infinity neither have nor are
@@ -23,6 +25,7 @@ an empty result. Measured recall is in the README.
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -114,13 +117,13 @@ def _windows(dim: int, k: int, least: float):
                 if not len(qi):
                     continue
                 b = ids[lo + xi]
-                exact = np.einsum("ij,ij->i", whole[q[qi]], whole[lo + xi])
+                # the required order: the rounded cosine, then the id; so the k kept are exact for the list
+                exact = np.round(np.einsum("ij,ij->i", whole[q[qi]], whole[lo + xi]), 6)
                 order = np.lexsort((b, -exact, qi))
                 qi, b, exact = qi[order], b[order], exact[order]
                 start = np.r_[0, np.flatnonzero(np.diff(qi)) + 1]
                 place = np.arange(len(qi)) - np.repeat(start, np.diff(np.r_[start, len(qi)]))
-                # ties after rounding may turn the order, so a few more than k stay
-                keep = place < k + 3
+                keep = place < k
                 out.append((ids[q[qi[keep]]], b[keep], exact[keep]))
             todo = np.concatenate(later) if later else todo[:0]
             if not len(todo):
@@ -162,10 +165,11 @@ def _windows(dim: int, k: int, least: float):
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrays of floats as bytes (minus zero as zero)."""
+    """Arrays of floats as bytes (minus zero as zero), and a digest of their unit vectors."""
     for batch in batches:
         vecs = [np.asarray(v, np.float32) + np.float32(0) for v in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in vecs], pa.binary())], names=["id", "vec"])
+        same = [hashlib.md5((x / np.linalg.norm(x)).tobytes()).hexdigest() for x in (v.astype(np.float64) for v in vecs)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in vecs], pa.binary()), pa.array(same, pa.string())], names=["id", "vec", "same"])
 
 
 def similar(df: DataFrame, vec_id: str, vec: str, dim: int, k: int, least: float) -> DataFrame:
@@ -173,7 +177,7 @@ def similar(df: DataFrame, vec_id: str, vec: str, dim: int, k: int, least: float
     good = df.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
     number = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 1e30)
     good = good.where(F.col("id").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") == dim) & F.forall("vec", number) & F.exists("vec", lambda x: x != 0))
-    packed = good.mapInArrow(_pack, "id bigint, vec binary").withColumn("same", F.md5("vec"))
+    packed = good.mapInArrow(_pack, "id bigint, vec binary, same string")
     packed = materialise(packed)
     # one vector for all that are equal; of their ids only the k + 1 smallest can be results
     groups = packed.groupBy("same").agg(F.min("id").alias("rep"), F.count("*").alias("n"))

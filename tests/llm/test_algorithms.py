@@ -100,6 +100,20 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.similar(df.limit(0), "vec_id", "vec", 64, 5, 0.8).count() == 0
 
 
+def test_neighbours_of_one_direction_are_ranked_by_id(spark):
+    """Forty lengths of one direction tie at 1 after rounding; the smallest ids win, whatever float noise says."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=64) * rng.uniform(0.3, 9, (40, 1))
+    x = np.concatenate([x, rng.normal(size=64) * 2.0 ** rng.integers(-3, 4, (20, 1))])
+    df = spark.createDataFrame([(i, [float(np.float32(v)) for v in r]) for i, r in enumerate(x)], "vec_id long, vec array<float>")
+    got = {}
+    for r in neighbours.similar(df, "vec_id", "vec", 64, 5, 0.8).collect():
+        got.setdefault(r.vec_id, []).append((r.place, r.nn_vec_id))
+    for i in range(60):
+        own = range(40) if i < 40 else range(40, 60)
+        assert [b for _, b in sorted(got[i])] == [j for j in own if j != i][:5]
+
+
 def test_copies(spark):
     q = ["Hello, World", "hello world!", "HELLO​ WORLD", "hello word", "a: 1; b: 2", "B:2\na : 1;", "a: 2; b: 1", None, "...", "ich heiße", "ICH HEISSE", "1+1", "11"]
     rows = [(i, "r", 5.0, t) for i, t in enumerate(q)] + [(50, "s", 5.0, "hello world"), (51, "r", None, "hello world"), (52, "r", float("nan"), "hello world"), (53, "r", 5.0, "x" * 50_000), (54, "r", 5.0, "X" * 50_000)]
