@@ -159,6 +159,24 @@ def test_clusters_of_requests(spark):
     assert sum(r.n_rows for r in d) == 1202 and all(1 <= len(r.typical) <= 3 for r in d)
 
 
+def test_rare_requests_about_a_hot_object_stay_apart():
+    """1,000 rows of one request and 5 of another, through both rounds of trees; and more requests than LEAVES."""
+    import pyarrow as pa
+
+    def centres(vectors: dict[bytes, int]) -> np.ndarray:
+        leaves = list(clusters._leaves(Counter({("r", "x", v): n for v, n in vectors.items()})))
+        (got,) = [r for b in clusters._agglomerate(iter(leaves)) for r in b.to_pylist()]
+        assert got["n"] == sum(vectors.values())
+        return np.frombuffer(got["centres"], np.float32).reshape(-1, len(next(iter(vectors))))
+
+    hot = lambda i, wide: bytes(255 if j == i else 0 for j in range(wide))
+    assert len(centres({hot(0, 3): 1000, hot(1, 3): 5})) == 2
+    assert len(centres({hot(0, 3): 100, hot(1, 3): 8})) == 2 and len(centres({hot(0, 3): 5, hot(1, 3): 1})) == 2
+    assert len(centres({hot(i, 300): 1000 if i == 7 else 5 for i in range(300)})) == 300
+    one = pa.RecordBatch.from_pylist([r for i in range(300) for r in next(clusters._leaves(Counter({("r", "x", hot(i, 300)): 5}))).to_pylist()], schema=next(clusters._leaves(Counter({("r", "x", hot(0, 300)): 5}))).schema)
+    assert len(next(clusters._agglomerate(iter([one]))).to_pylist()[0]["centres"]) == 300 * 300 * 4
+
+
 def test_tree_features_add_up():
     rng = np.random.default_rng(0)
     x = np.repeat(np.eye(4), 50, 0) + 0.01 * rng.normal(size=(200, 4))
