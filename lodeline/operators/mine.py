@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions.text import grams, tokens
+from ..session import materialise
 
 
 def affixes(df: DataFrame, text: str, shortest: int = 2, longest: int = 6, least: int = 60) -> DataFrame:
@@ -195,3 +196,39 @@ def boundary_default(rows: list[tuple[str, str]], pair: tuple[str, str], markers
         if len(left) >= support and k >= precision * len(left):
             return c
     return None
+
+
+def pair_markers(rows: DataFrame, text: str, cls: str, pairs: list[tuple[str, str]], support: int = 4, precision: float = 0.9, most: int = 4, default_support: int = 20, default_precision: float = 0.75) -> list[tuple[str, str, str, str, int, str | None]]:
+    """(class_a, class_b, marker, points_to, gain, default) of many pairs over texts of any number.
+
+    What :func:`discriminating_markers` and :func:`boundary_default` say of each pair, counted in the cluster: the driver
+    gets at most ``most`` markers and two counts a pair. Pairs are at most the number of classes squared.
+    """
+    if not pairs:
+        return []
+    spark = rows.sparkSession
+    rows = materialise(rows.select(F.monotonically_increasing_id().alias("id"), F.col(text).alias("t"), F.col(cls).alias("c")).where("t is not null and c is not null"))
+    sides = F.broadcast(spark.createDataFrame([(p, a, b) for p, (x, y) in enumerate(pairs) for a, b in ((x, y), (y, x))], "p int, c string, other string"))
+    each = materialise(rows.join(sides.select("c").distinct(), "c", "left_semi").select("id", "c", F.explode(F.array_distinct(grams(F.col("t"), 2, 4))).alias("g")))
+    counts = materialise(each.groupBy("g", "c").agg(F.count("*").alias("n")))
+    strong = counts.where(F.col("n") >= support).join(sides, "c")
+    wrong = counts.select("g", F.col("c").alias("other"), F.col("n").alias("m"))
+    good = strong.join(wrong, ["g", "other"], "left").where(F.col("n") >= F.lit(precision) * (F.col("n") + F.coalesce("m", F.lit(0)))).select("p", "g", "c")
+    left = materialise(each.join(good, ["g", "c"]).select("p", "g", "c", "id"))
+    chosen: list[tuple[int, str, str, int]] = []
+    for _ in range(most):
+        gain = left.groupBy("p", "g", "c").agg(F.count("*").alias("n"))
+        best = [(r.p, r.b.g, r.b.c, -r.b.n) for r in gain.groupBy("p").agg(F.min(F.struct((-F.col("n")).alias("n"), F.length("g").alias("k"), "g", "c")).alias("b")).collect()]  # one row a pair
+        if not best:
+            break
+        chosen += best
+        taken = F.broadcast(spark.createDataFrame([b[:2] for b in best], "p int, g string"))
+        left = materialise(left.join(left.join(taken, ["p", "g"], "left_semi").select("p", "id"), ["p", "id"], "left_anti"))
+    marks = spark.createDataFrame([(p, [g for q, g, _, _ in chosen if q == p]) for p in range(len(pairs))], "p int, marks array<string>")
+    bare = rows.join(sides, "c").join(F.broadcast(marks), "p").where(~F.exists("marks", lambda m: F.col("t").contains(m)))
+    n = {(r.p, r.c): r["count"] for r in bare.groupBy("p", "c").count().collect()}  # two rows a pair
+    default = {}
+    for p, pair in enumerate(pairs):
+        total = sum(n.get((p, c), 0) for c in pair)
+        default[p] = next((c for c in pair if total >= default_support and n.get((p, c), 0) >= default_precision * total), None)
+    return [(*pairs[p], g, c, k, default[p]) for p, g, c, k in sorted(chosen, key=lambda x: x[0])]

@@ -123,13 +123,8 @@ def log_odds_by_document(spark: SparkSession, d: str) -> DataFrame:
 
 @query("discriminating_markers")
 def discriminating_markers(spark: SparkSession, d: str) -> DataFrame:
-    """Markers of every pair of classes the two readers of the gold rows confused; gold rows are a hand-made sample."""
+    """Markers of every pair of classes the two readers of the gold rows confused, over all agreed rows."""
     gold = table(spark, d, "gold_rows").where("query is not null and final_label is not null")
-    rows = [(r.query, r.final_label) for r in gold.where("agreed").select("query", "final_label").limit(20_000).collect()]
     pairs = sorted({tuple(sorted((r.label_a, r.label_b))) for r in gold.where("label_a <> label_b").select("label_a", "label_b").distinct().collect()})
-    out = []
-    for p in pairs:
-        marks = M.discriminating_markers(rows, p)
-        default = M.boundary_default(rows, p, [m for m, _, _ in marks])
-        out += [(p[0], p[1], m, c, n, default) for m, c, n in marks]
+    out = M.pair_markers(gold.where("agreed"), "query", "final_label", pairs)
     return spark.createDataFrame(out, "class_a string, class_b string, marker string, points_to string, gain int, default_class string")

@@ -256,3 +256,22 @@ def test_sql_parity(spark, name):
     at = [rel.columns.index(c) for c in cols]
     theirs = sorted(str([cell(r[i]) for i in at]) for r in rel.fetchall())
     assert mine_ == theirs
+
+
+def test_discriminating_markers_read_every_gold_row(spark, tmp_path):
+    """The marker of a pair stands only in the last of 20,600 agreed rows; the result equals the driver's greedy cover."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcde") for _ in range(4))
+    rows = [(i, word() + ("qz" if i >= 20_500 and i % 2 else ""), "U01", "U01", "U01" if i % 2 else "U02", True) for i in range(20_600)]
+    rows += [(30_000, "x", "U01", "U02", "U01", False), (30_001, "y", "U03", "U02", "U03", False), (30_002, None, "U01", "U02", "U01", True)]
+    spark.createDataFrame(rows, "idx long, query string, label_a string, label_b string, final_label string, agreed boolean").coalesce(1).write.parquet(f"{tmp_path}/gold_rows.parquet")
+    got = [tuple(r) for r in queries.queries()["discriminating_markers"](spark, str(tmp_path)).collect()]
+    agreed = [(r[1], r[4]) for r in rows if r[5] and r[1]]
+    want = []
+    for p in (("U01", "U02"), ("U02", "U03")):
+        marks = mine.discriminating_markers(agreed, p)
+        default = mine.boundary_default(agreed, p, [m for m, _, _ in marks])
+        want += [(*p, *m, default) for m in marks]
+    assert got == want and ("U01", "U02", "qz", "U01", 50) in {r[:5] for r in got}
