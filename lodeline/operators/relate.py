@@ -6,21 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def wrapped(long_: DataFrame, heads: DataFrame, text: str, head: str, keep: list[str], least: int = 3, more: int = 2, longest: int = 32) -> DataFrame:
+def wrapped(long_: DataFrame, heads: DataFrame, text: str, head: str, keep: list[str], least: int = 3, more: int = 2) -> DataFrame:
     """``keep``, head: the longest head text contained in a longer text.
 
     Every substring of a text meets the heads in an equality join, so no text is compared with all heads; heads
-    have ``least`` to ``longest`` characters and no head of digits alone counts. Ties go to the smaller text.
+    have at least ``least`` characters and no head of digits alone counts. Ties go to the smaller text.
     """
-    h = heads.where((F.length(head).between(least, longest)) & ~F.col(head).rlike("^[0-9]+$")).select(F.col(head).alias("head")).distinct()
+    h = heads.where((F.length(head) >= least) & ~F.col(head).rlike("^[0-9]+$")).select(F.col(head).alias("head")).distinct()
     n = F.length("_t")
-    # an inverted start: only substrings that begin where some head begins can match
-    starts = h.select(F.substring("head", 1, least).alias("_s")).distinct()
-    lengths = [r[0] for r in h.select(F.length("head")).distinct().limit(longest + 1).collect()]
+    # an inverted start: only substrings that begin where some head begins, and of the length of one that begins so, can match
+    starts = h.select(F.substring("head", 1, least).alias("_s"), F.length("head").alias("_k")).distinct()
     t = long_.select(*keep, F.col(text).alias("_t")).where(n >= least + more)
     at = t.select(*keep, "_t", F.explode(F.sequence(F.lit(1), n - least + 1)).alias("_i")).withColumn("_s", F.substring("_t", F.col("_i"), F.lit(least)))
-    at = at.join(starts, "_s", "left_semi")
-    cand = at.select(*keep, "_t", F.explode(F.array(*[F.when(F.col("_i") + k - 1 <= F.length("_t"), F.substring("_t", F.col("_i"), F.lit(k))) for k in lengths])).alias("head")).where(F.col("head").isNotNull() & (F.length("_t") >= F.length("head") + more))
+    fits = (F.col("_i") + F.col("_k") - 1 <= n) & (n >= F.col("_k") + more)
+    cand = at.join(starts, "_s").where(fits).select(*keep, F.substring("_t", F.col("_i"), F.col("_k")).alias("head"))
     best = cand.join(h, "head").groupBy(*keep).agg(F.max(F.struct(F.length("head"), F.col("head"))).alias("_b"))
     return best.select(*keep, F.col("_b.head").alias("head"))
 

@@ -275,3 +275,10 @@ def test_discriminating_markers_read_every_gold_row(spark, tmp_path):
         default = mine.boundary_default(agreed, p, [m for m, _, _ in marks])
         want += [(*p, *m, default) for m in marks]
     assert got == want and ("U01", "U02", "qz", "U01", 50) in {r[:5] for r in got}
+
+
+def test_wrapped_takes_heads_of_any_length(spark):
+    long_head = "how to read the very long title of a chemistry kit"
+    t = spark.createDataFrame([(1, f"please tell me {long_head}"), (2, "the kit now")], "i long, t string")
+    h = spark.createDataFrame([(long_head,), ("chemistry kit",), ("kit",), ("123",)], "h string")
+    assert {(r.i, r.head) for r in relate.wrapped(t, h, "t", "h", ["i"]).collect()} == {(1, long_head), (2, "kit")}
