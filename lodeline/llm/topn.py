@@ -77,6 +77,9 @@ def top_n(df: DataFrame, groups: list[str], order: list[Column], n: int, keep: l
 
 
 def first_delivery(df: DataFrame, key: str, unique: str, columns: list[str]) -> DataFrame:
-    """One row per ``key``: that of the smallest ``unique``. Combined before the shuffle, so a repeated key costs a row a task."""
-    one = df.groupBy(key).agg(F.min(F.struct(unique, *columns)).alias("_r"))
+    """One row per ``key``: that of the smallest ``unique``. Combined before the shuffle, so a repeated key costs a row a task.
+
+    A null key says nothing about repetition: such rows all stay.
+    """
+    one = df.groupBy(key, F.when(F.col(key).isNull(), F.col(unique)).alias("_alone")).agg(F.min(F.struct(unique, *columns)).alias("_r"))
     return one.select(key, "_r.*")

@@ -29,6 +29,11 @@ def test_first_delivery(spark):
     assert {(r.k, r.row_id) for r in topn.first_delivery(df, "k", "row_id", ["v"]).collect()} == {("a", 1), ("b", 3)}
 
 
+def test_first_delivery_keeps_rows_without_a_key(spark):
+    df = spark.createDataFrame([("a", 2, 1.0), ("a", 1, 1.0), (None, 3, 2.0), (None, 4, 3.0)], "k string, row_id long, v double")
+    assert {(r.k, r.row_id, r.v) for r in topn.first_delivery(df, "k", "row_id", ["v"]).collect()} == {("a", 1, 1.0), (None, 3, 2.0), (None, 4, 3.0)}
+
+
 def test_consensus_recovers_truth_and_competence(spark):
     rng = random.Random(5)
     votes, vid = [], 0
