@@ -101,6 +101,11 @@ def p9_mix(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[0].select("doc_id", "source", "n_tokens", "copies")
 
 
+def p9_mix_all_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The mix with as many tokens as all listed sources together: sources short of their target are clamped."""
+    return _mixed(spark, d, "all")[0].select("doc_id", "source", "n_tokens", "copies")
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 

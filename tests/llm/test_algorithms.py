@@ -200,6 +200,20 @@ def test_water_filling():
     assert [round(x.amount) for x in s] == [200, 200] and (s[0].whole, s[1].whole) == (2, 0)
 
 
+def test_mix_of_all_tokens_is_registered_and_clamped(spark):
+    from lodeline.llm import queries
+
+    q, d = queries.queries(), "/root/testdata/sf0.001"
+    rows = q["p9_mix_all_tokens"](spark, d).collect()
+    report = q["p9_shares_all_tokens"](spark, d).collect()
+    taken = Counter()
+    for r in rows:
+        taken[r.source] += r.n_tokens * r.copies
+    assert all(taken[r.source] == r.taken_tokens for r in report)
+    live = [r for r in report if r.tokens and r.target_share]
+    assert any(r.epochs == r.max_repeats for r in live)
+
+
 def test_mix_reaches_the_targets_and_caps(spark):
     rng = random.Random(1)
     docs = [(i, rng.choice(["big"] * 8 + ["small", None, "other"]), rng.randrange(0, 400)) for i in range(4000)]
