@@ -53,16 +53,16 @@ def snapshot_manifest(spark: SparkSession, d: str) -> DataFrame:
 @query("bootstrap_weight_share")
 def bootstrap_weight_share(spark: SparkSession, d: str) -> DataFrame:
     m = table(spark, d, MAIN).select("row_id", "own_run", "own_leaf", "pv")
-    return M.bootstrap_share(m, "own_run", F.col("own_leaf") == "mock tests", positive(F.col("pv")), draws=50)
+    return M.bootstrap_share(m, "own_run", F.col("own_leaf") == "mock tests", positive(F.col("pv")))
 
 
 @query("classifier_out_of_fold")
 def classifier_out_of_fold(spark: SparkSession, d: str) -> DataFrame:
-    best, _ = M.cross_validated(table(spark, d, "embeddings"), "embedding", "label", "vec_id", grid=(0.01,))
+    best, _ = M.cross_validated(table(spark, d, "embeddings"), "embedding", "label", "vec_id")
     return best
 
 
 @query("classifier_report")
 def classifier_report(spark: SparkSession, d: str) -> DataFrame:
-    best, _ = M.cross_validated(table(spark, d, "embeddings"), "embedding", "label", "vec_id", grid=(0.01,))
+    best, _ = M.cross_validated(table(spark, d, "embeddings"), "embedding", "label", "vec_id")
     return M.class_report(best)

@@ -112,7 +112,7 @@ def kmeans_sweep(spark: SparkSession, d: str) -> DataFrame:
 
 @query("algorithm_battery")
 def algorithm_battery(spark: SparkSession, d: str) -> DataFrame:
-    rows = K.algorithm_battery(_rows(spark, d), "embedding", "vec_id", [8])
+    rows = K.algorithm_battery(_rows(spark, d), "embedding", "vec_id", [15, 20, 30])
     return spark.createDataFrame([(r["algorithm"], r["k"], r["stability"]) for r in rows], "algorithm string, k int, stability double")
 
 

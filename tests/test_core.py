@@ -282,3 +282,17 @@ def test_wrapped_takes_heads_of_any_length(spark):
     t = spark.createDataFrame([(1, f"please tell me {long_head}"), (2, "the kit now")], "i long, t string")
     h = spark.createDataFrame([(long_head,), ("chemistry kit",), ("kit",), ("123",)], "h string")
     assert {(r.i, r.head) for r in relate.wrapped(t, h, "t", "h", ["i"]).collect()} == {(1, long_head), (2, "kit")}
+
+
+def test_model_queries_run_with_the_settings_of_the_operators(spark, monkeypatch):
+    from lodeline.operators import model
+
+    seen = {}
+    monkeypatch.setattr(model, "cross_validated", lambda *a, **k: (seen.setdefault("grid", k), 0.0))
+    monkeypatch.setattr(model, "bootstrap_share", lambda *a, **k: seen.setdefault("draws", k))
+    monkeypatch.setattr(cluster, "algorithm_battery", lambda df, vec, unique, ks: [{"algorithm": "kmeans", "k": k, "stability": 1.0} for k in ks])
+    q = queries.queries()
+    q["classifier_out_of_fold"](spark, SMALL)
+    q["bootstrap_weight_share"](spark, SMALL)
+    assert "grid" not in seen["grid"] and "draws" not in seen["draws"]
+    assert {r.k for r in q["algorithm_battery"](spark, SMALL).collect()} == {15, 20, 30}
