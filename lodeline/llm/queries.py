@@ -66,6 +66,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_similar(spark, d).select("vec_id", "place", "nn_vec_id")
 
 
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Exact lists of the vectors whose id is divisible by 20, their rows, and whether the operator finds 99 % of these."""
+    vectors = table(spark, d, "edu_query_vectors")
+    exact = materialise(neighbours.exact_lists(vectors, "vec_id", "vec", 64, 5, 0.8).select("vec_id", "place", "nn_vec_id"))
+    met = exact.join(p5_found(spark, d).withColumn("_hit", F.lit(1)), ["vec_id", "place", "nn_vec_id"], "left")
+    enough = F.coalesce(F.sum("_hit"), F.lit(0)) >= 0.99 * F.count("*")
+    return met.agg(F.count_distinct("vec_id").alias("n_queries"), F.count("*").alias("n_rows"), F.sum("nn_vec_id").cast("bigint").alias("sum_of_ids"), enough.alias("recall_99"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.find_copies(table(spark, d, MAIN).select("row_id", "own_run", "pv", "query"), "row_id", ["own_run", "pv"], "query")
 
