@@ -9,7 +9,10 @@ Records are range-partitioned by (scope, canonical form, id) and sorted within p
 (Spark's sorter spills to disk); each partition is scanned once as Arrow batches, comparing
 full keys of neighbours. The id is part of the range, so copies of one record may be a third
 of all rows and still spread over many partitions: what a partition knows of its first and
-last run is one line, and these lines (one a partition) settle runs that cross a border.
+last run is one line, and these lines (one a partition, with keys of at most ``KEY_BYTES``
+or else their length and SHA-256) settle runs that cross a border. The same scan gives each
+copy its record and each record its exact number of copies. Keys are made once and written,
+as the range needs a sample of them before they are moved.
 
 Null texts, texts without letter, digit or symbol, and rows with a null or NaN in a scope
 column are no records. Repeated ids are distinct rows. An empty table gives an empty result.
@@ -17,6 +20,7 @@ column are no records. Repeated ids are distinct rows. An empty table gives an e
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,32 +54,33 @@ def canonical(text: Column) -> Column:
     return F.when(form != "", form)
 
 
-_OUT = T.StructType(
-    [
-        T.StructField("part", T.IntegerType()),
-        T.StructField("kind", T.IntegerType()),  # 0: a copy; 1: a row of the partition's first run; 2: the partition's line
-        T.StructField("first_row_id", T.LongType()),
-        T.StructField("row_id", T.LongType()),
-        T.StructField("first_key", T.BinaryType()),
-        T.StructField("last_key", T.BinaryType()),
-        T.StructField("last_run", T.LongType()),
-        T.StructField("runs", T.LongType()),
-    ]
-)
+KEY_BYTES = 256
+_FIELDS = [
+    ("part", pa.int32()), ("kind", pa.int32()), ("first_row_id", pa.int64()), ("row_id", pa.int64()), ("n", pa.int64()),
+    ("first_key", pa.binary()), ("last_key", pa.binary()), ("first_n", pa.int64()), ("last_run", pa.int64()), ("last_n", pa.int64()),
+]
+_ARROW = pa.schema(_FIELDS)
+#: Kinds of lines: a copy; a row of the partition's first run; a run inside the partition; what is known at its borders.
+COPY, FIRST, RUN, BORDER = range(4)
+_SPARK = {pa.int32(): T.IntegerType(), pa.int64(): T.LongType(), pa.binary(): T.BinaryType()}
+_OUT = T.StructType([T.StructField(n, _SPARK[t]) for n, t in _FIELDS])
+
+
+def _brief(key: bytes) -> bytes:
+    return key if len(key) <= KEY_BYTES else b"%d:" % len(key) + hashlib.sha256(key).digest()
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns: key (binary), row_id, part. Emits copies, the rows of the first run, and one line for the border."""
+    """Columns: key (binary), row_id, part, sorted. Emits copies, the rows of the first run, runs inside, and one line for the borders."""
     first_key = last_key = None
-    last_run = first_id = None
+    first_id = run_id = None
+    first_n = run_n = 0
     runs, part = 0, 0
 
-    def batch_of(kind: np.ndarray, first: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        n = len(ids)
-        none = pa.nulls(n, pa.binary())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, part, np.int32)), pa.array(kind.astype(np.int32)), pa.array(first), pa.array(ids), none, none, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], schema=_ARROW
-        )
+    def lines(**columns) -> pa.RecordBatch:
+        n = len(columns["kind"])
+        data = [pa.array(np.full(n, part, np.int32)), *[pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in _FIELDS[1:]]]
+        return pa.RecordBatch.from_arrays(data, schema=_ARROW)
 
     for batch in batches:
         n = batch.num_rows
@@ -92,69 +97,82 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new[0] = False
         run = np.cumsum(new) + runs  # number of the run, from 1
         starts = np.flatnonzero(new)
+        lead = int(starts[0]) if len(starts) else n
+        sizes = np.diff(np.append(starts, n))
         firsts = np.empty(n, np.int64)
-        lead = starts[0] if len(starts) else n
-        if lead:
-            firsts[:lead] = last_run
-        if len(starts):
-            firsts[lead:] = np.repeat(ids[starts], np.diff(np.append(starts, n)))
+        firsts[:lead] = run_id or 0
+        firsts[lead:] = np.repeat(ids[starts], sizes)
         in_first = run == 1
         keep = ~new | in_first
         if keep.any():
-            yield batch_of(in_first[keep], firsts[keep], ids[keep])
-        runs, last_key, last_run = int(run[-1]), keys[n - 1].as_py(), int(firsts[-1])
+            yield lines(kind=np.where(in_first[keep], FIRST, COPY).astype(np.int32), first_row_id=firsts[keep], row_id=ids[keep])
+        # runs that ended here: the one held over, and all started here but the last
+        ended_ids, ended_n = ids[starts[:-1]], sizes[:-1]
+        if len(starts):
+            if runs:
+                ended_ids, ended_n = np.r_[run_id, ended_ids], np.r_[run_n + lead, ended_n]
+            if runs <= 1 and len(ended_ids):
+                first_n, ended_ids, ended_n = int(ended_n[0]), ended_ids[1:], ended_n[1:]
+            run_id, run_n = int(ids[starts[-1]]), int(sizes[-1])
+        else:
+            run_n += n
+        if len(ended_ids):
+            yield lines(kind=np.full(len(ended_ids), RUN, np.int32), first_row_id=ended_ids.astype(np.int64), n=ended_n.astype(np.int64))
+        runs, last_key = int(run[-1]), keys[n - 1].as_py()
     if first_key is not None:
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([part], pa.int32()), pa.array([2], pa.int32()), pa.array([first_id], pa.int64()), pa.array([None], pa.int64()), pa.array([first_key], pa.binary()), pa.array([last_key], pa.binary()), pa.array([last_run], pa.int64()), pa.array([runs], pa.int64())],
-            schema=_ARROW,
-        )
-
-
-_ARROW = pa.schema(
-    [("part", pa.int32()), ("kind", pa.int32()), ("first_row_id", pa.int64()), ("row_id", pa.int64()), ("first_key", pa.binary()), ("last_key", pa.binary()), ("last_run", pa.int64()), ("runs", pa.int64())]
-)
+        one = runs == 1
+        yield lines(kind=[BORDER], first_row_id=[first_id], n=[runs], first_key=[_brief(first_key)], last_key=[_brief(last_key)], first_n=[run_n if one else first_n], last_run=[run_id], last_n=[run_n])
 
 
-def find_copies(df: DataFrame, row_id: str, scope: list[str], text: str) -> DataFrame:
-    """(first_row_id, row_id): each copy but the first with the smallest id of its set.
-
-    Two rows are copies if all ``scope`` columns are equal and the canonical forms of
-    ``text`` are. ``row_id`` is a bigint.
-    """
+def _records(df: DataFrame, row_id: str, scope: list[str], text: str) -> DataFrame:
+    """(key, row_id) of the rows that are records."""
     ok = F.lit(True)
+    kinds = dict(df.dtypes)
     for c in scope:
         ok &= F.col(c).isNotNull()
-        if dict(df.dtypes)[c] in ("double", "float"):
+        if kinds[c] in ("double", "float"):
             ok &= ~F.isnan(c)
-    norm = [F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)) if dict(df.dtypes)[c] in ("double", "float") else F.col(c) for c in scope]
+    norm = [F.when(F.col(c) == 0, F.lit(0.0)).otherwise(F.col(c)) if kinds[c] in ("double", "float") else F.col(c) for c in scope]
     key = F.concat_ws("\u0003", *[x.cast("string") for x in norm], F.col("_form"))
     rows = df.where(ok & F.col(text).isNotNull()).select(F.col(row_id).alias("row_id"), canonical(F.col(text)).alias("_form"), *scope).where("_form is not null")
-    rows = rows.select(F.encode(key, "utf-8").alias("key"), "row_id")
+    return rows.select(F.encode(key, "utf-8").alias("key"), "row_id")
+
+
+def _scanned(df: DataFrame, row_id: str, scope: list[str], text: str) -> tuple[DataFrame, list[tuple[int, int]], list[tuple[int, int]]]:
+    """Lines of the scan; (part, first id) of first runs that began in an earlier partition; (first id, n) of runs at borders."""
+    rows = materialise(_records(df, row_id, scope, text))
     ordered = rows.repartitionByRange("key", "row_id").sortWithinPartitions("key", "row_id").withColumn("part", F.spark_partition_id())
     found = materialise(ordered.mapInArrow(_scan, _OUT))
-    # One line a partition; the number of partitions bounds it, whatever the input.
-    lines = found.where("kind = 2").select("part", "first_row_id", "first_key", "last_key", "last_run", "runs").orderBy("part").collect()
     moved: list[tuple[int, int]] = []
-    key_before, run_before = None, None
-    for x in lines:
-        if key_before is not None and bytes(x.first_key) == key_before:
-            moved.append((x.part, run_before))
-            run_before = run_before if x.runs == 1 else x.last_run
+    whole: list[list[int]] = []
+    before = None
+    # One line a partition; the number of partitions bounds it, whatever the input.
+    for x in found.where(F.col("kind") == BORDER).orderBy("part").collect():
+        if before is not None and bytes(x.first_key) == before:
+            moved.append((x.part, whole[-1][0]))
+            whole[-1][1] += x.first_n
         else:
-            run_before = x.last_run
-        key_before = bytes(x.last_key)
-    spark = df.sparkSession
-    fix = F.broadcast(spark.createDataFrame(moved, "part int, moved long"))
-    copies = found.where("kind < 2").join(fix, (F.col("kind") == 1) & (found["part"] == fix["part"]), "left")
+            whole.append([x.first_row_id, x.first_n])
+        if x.n > 1:
+            whole.append([x.last_run, x.last_n])
+        before = bytes(x.last_key)
+    return found, moved, [(a, b) for a, b in whole]
+
+
+def find_copies(df: DataFrame, row_id: str, scope: list[str], text: str) -> DataFrame:
+    """(first_row_id, row_id): each copy but the first with the smallest id of its set.
+
+    Two rows are copies if all ``scope`` columns are equal and the canonical forms of
+    ``text`` are. ``row_id`` is a bigint.
+    """
+    found, moved, _ = _scanned(df, row_id, scope, text)
+    fix = F.broadcast(df.sparkSession.createDataFrame(moved, "part int, moved long"))
+    copies = found.where(F.col("kind") <= FIRST).join(fix, (F.col("kind") == FIRST) & (found["part"] == fix["part"]), "left")
     return copies.select(F.coalesce("moved", "first_row_id").alias("first_row_id"), "row_id").where("first_row_id <> row_id")
 
 
 def collapse(df: DataFrame, row_id: str, scope: list[str], text: str) -> DataFrame:
     """One row a set of copies (or a single record): first_row_id and n_copies, the exact number of its rows."""
-    copies = find_copies(df, row_id, scope, text)
-    extra = copies.groupBy("first_row_id").agg(F.count("*").alias("n_more"))
-    ok = F.col(text).isNotNull() & canonical(F.col(text)).isNotNull()
-    for c in scope:
-        ok &= F.col(c).isNotNull() & (~F.isnan(c) if dict(df.dtypes)[c] in ("double", "float") else F.lit(True))
-    singles = df.where(ok).select(F.col(row_id).alias("first_row_id")).join(copies.select(F.col("row_id").alias("first_row_id")), "first_row_id", "left_anti")
-    return singles.join(extra, "first_row_id", "left").select("first_row_id", (F.coalesce("n_more", F.lit(0)) + 1).alias("n_copies"))
+    found, _, borders = _scanned(df, row_id, scope, text)
+    runs = found.where(F.col("kind") == RUN).select("first_row_id", F.col("n").alias("n_copies"))
+    return runs.unionByName(df.sparkSession.createDataFrame(borders, "first_row_id long, n_copies long"))
