@@ -1,9 +1,11 @@
 """Encoding and decoding of a corpus with a public byte-level BPE tokenizer.
 
-Texts are cut into pre-tokens in the JVM, each distinct pre-token of the corpus is encoded
-once, and its ids are joined back and put together by position. Frequent pre-tokens (there
-can be only a thousand or so, see :func:`lodeline.session.join_aggregate`) are broadcast, the
-rest meets in a shuffle, so no word is a hot key.
+Texts are cut into pre-tokens in the JVM, once, and kept as arrays under a handle of the row;
+each distinct pre-token of the corpus is encoded once, and its ids are joined back and put
+together by position. The ``COMMON`` most frequent pre-tokens of at most ``SHORT`` characters
+(so a bounded table) are put in where the arrays lie; only the others are exploded with their
+positions and meet their ids in a shuffle, where a longer one that is frequent is broadcast
+(see :func:`lodeline.session.join_aggregate`), so no word is a hot key.
 
 Null and empty texts give an empty list; blank texts are encoded as they are; names of
 special tokens in a text are ordinary text. Every input row gives one row, also repeated
@@ -16,6 +18,7 @@ import base64
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,34 +59,92 @@ def _encode_words(path: str):
     return run
 
 
-def _encoded(rows: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """``rows`` (_h, text) as (_h, pos, word, ids), and the vocabulary in use (word, n, ids)."""
-    words = rows.select("_h", F.posexplode(F.regexp_extract_all("text", F.lit("(?U)" + PRE_TOKEN), F.lit(0))).alias("pos", "word"))
-    vocab = words.groupBy("word").agg(F.count("*").alias("n"))
-    vocab = materialise(vocab.mapInArrow(_encode_words(path), _VOCAB))
+#: Pre-tokens put in without a shuffle, and their greatest length.
+COMMON, SHORT = 20_000, 32
+
+
+def _cut(df: DataFrame, text: str) -> DataFrame:
+    """The other columns of every row with a handle and the pre-tokens of its text, written once so that handles stay."""
+    words = F.regexp_extract_all(text, F.lit("(?U)" + PRE_TOKEN), F.lit(0))
+    return materialise(df.select(F.monotonically_increasing_id().alias("_h"), F.coalesce(words, F.array().cast("array<string>")).alias("_words"), *[c for c in df.columns if c != text]))
+
+
+def _vocabulary(cut: DataFrame, path: str) -> DataFrame:
+    """The pre-tokens in use: word, n, ids."""
+    counted = cut.select(F.explode("_words").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return materialise(counted.mapInArrow(_encode_words(path), _VOCAB))
+
+
+def _common(vocab: DataFrame) -> dict[str, list[int]]:
+    rows = vocab.where(F.length("word") <= SHORT).orderBy(F.col("n").desc(), "word").limit(COMMON).select("word", "ids").collect()
+    return {r.word: r.ids for r in rows}
+
+
+def _put(common: dict[str, list[int]]):
+    """Words in the first column become the ids of common words, -1 in place of each other word, and these words in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hole = [-1]
+        for batch in batches:
+            known, rest = [], []
+            for words in batch.column(0).to_pylist():
+                out: list[int] = []
+                for w in words:
+                    out += common.get(w, hole)
+                known.append(np.array(out, np.int32).tobytes())
+                rest.append([w for w in words if w not in common])
+            yield pa.RecordBatch.from_arrays([pa.array(known, pa.binary()), pa.array(rest, pa.list_(pa.string())), *batch.columns[1:]], names=["_known", "_rest", *batch.schema.names[1:]])
+
+    return run
+
+
+def _fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Columns: id, known ids, lists for the holes. Every list of ids is complete."""
+    for batch in batches:
+        values, sizes = [], []
+        for known, each in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            ids = np.frombuffer(known, np.int32)
+            if each:
+                holes = np.flatnonzero(ids == -1)
+                parts = np.split(ids, np.sort(np.r_[holes, holes + 1]))
+                parts[1::2] = [np.array(e, np.int32) for e in each]
+                ids = np.concatenate(parts)
+            values.append(ids)
+            sizes.append(len(ids))
+        flat = pa.array(np.concatenate(values) if values else np.empty(0, np.int32))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)
+        yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=[batch.schema.names[0], "ids"])
+
+
+def _rare(cut: DataFrame, vocab: DataFrame, common: dict[str, list[int]]) -> tuple[DataFrame, DataFrame]:
+    """Every row with known ids and other words, and (handle, pos, ids) of each of the other words."""
+    others = [c for c in cut.schema.fields if c.name != "_words"]
+    schema = T.StructType([T.StructField("_known", T.BinaryType()), T.StructField("_rest", T.ArrayType(T.StringType())), *others])
+    put = materialise(cut.select("_words", *[c.name for c in others]).mapInArrow(_put(common), schema))
     total = vocab.agg(F.sum("n")).head()[0] or 0
-    return join_aggregate(words, vocab, ["word"], "n", total), vocab
+    return put, join_aggregate(put.select("_h", F.posexplode("_rest").alias("pos", "word")), vocab, ["word"], "n", total)
 
 
 def encode(df: DataFrame, row_id: str, text: str, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
     """(row_id, ids) of every row."""
-    # The handle depends on the files alone, so a task that runs again gives the same.
-    rows = df.select(F.monotonically_increasing_id().alias("_h"), F.col(row_id).alias("_id"), F.col(text).alias("text"))
-    tokens, _ = _encoded(rows.where("text <> ''"), f"{folder}/{vocabulary}")
-    lists = tokens.groupBy("_h").agg(F.collect_list(F.struct("pos", "ids")).alias("each"))
-    lists = lists.select("_h", F.flatten(F.transform(F.array_sort("each"), lambda x: x["ids"])).alias("ids"))
-    full = rows.where("text <> ''").select("_h", "_id").join(lists, "_h").select(F.col("_id").alias(row_id), "ids")
-    none = rows.where("text is null or text = ''").select(F.col("_id").alias(row_id), F.array().cast("array<int>").alias("ids"))
-    return full.unionByName(none)
+    cut = _cut(df.select(F.col(row_id).alias("_id"), F.col(text).alias("_text")), "_text")
+    vocab = _vocabulary(cut, f"{folder}/{vocabulary}")
+    put, rare = _rare(cut, vocab, _common(vocab))
+    lists = rare.groupBy("_h").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("_each"))
+    lists = lists.select("_h", F.transform("_each", lambda x: x["ids"]).alias("_each"))
+    whole = put.select("_h", "_id", "_known").join(lists, "_h", "left").select(F.col("_id").alias(row_id), "_known", "_each")
+    return whole.mapInArrow(_fill, T.StructType([T.StructField(row_id, df.schema[row_id].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def count(df: DataFrame, text: str, out: str, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Every row of ``df`` with ``out``, the number of tokens of ``text`` (0 for null and empty ones)."""
-    columns = df.columns
-    rows = materialise(df.withColumn("_h", F.monotonically_increasing_id()))
-    tokens, _ = _encoded(rows.where(F.col(text) != "").select("_h", F.col(text).alias("text")), f"{folder}/{vocabulary}")
-    sums = tokens.groupBy("_h").agg(F.sum(F.size("ids")).alias("_n"))
-    return rows.join(sums, "_h", "left").select(*columns, F.coalesce("_n", F.lit(0)).cast("bigint").alias(out))
+    """The other columns of every row of ``df`` with ``out``, the number of tokens of ``text`` (0 for null and empty ones)."""
+    cut = _cut(df, text)
+    vocab = _vocabulary(cut, f"{folder}/{vocabulary}")
+    put, rare = _rare(cut, vocab, _common(vocab))
+    more = rare.groupBy("_h").agg(F.sum(F.size("ids")).alias("_more"))
+    known = F.length("_known") / 4 - F.size("_rest")
+    columns = [c for c in df.columns if c != text]
+    return put.join(more, "_h", "left").select(*columns, (known + F.coalesce("_more", F.lit(0))).cast("bigint").alias(out))
 
 
 def token_bytes(spark: SparkSession, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
