@@ -1,10 +1,10 @@
 """Mixing sources to target weights by capped water-filling and seeded repetition.
 
-A source can give at most its tokens times its greatest number of repeats. Within a budget,
-sources whose target is above that are clamped there, and what they leave is shared among
-the others in proportion to their targets, until nothing is above its cap. Without a given
-budget the largest total is taken at which every source that has any tokens reaches its
-target. An amount is whole repetitions of a source and a seeded part of it: the documents
+A source can give at most its tokens times its greatest number of repeats. Within a budget
+(by default all tokens of the listed sources) sources whose target is above that are clamped
+there, and what they leave is shared among the others in proportion to their targets, until
+nothing is above its cap. With the budget None the largest total is taken at which every
+source that has any tokens reaches its target. An amount is whole repetitions of a source and a seeded part of it: the documents
 with the smallest hashes, up to the tokens wanted.
 
 The part is found by two histograms of hashes (``BINS`` a source each), so nothing is sorted
@@ -72,13 +72,14 @@ def _cut(bins: dict[int, int], want: float) -> tuple[int, float]:
     return BINS, run
 
 
-def mix(docs: DataFrame, source: str, tokens: str, unique: str, targets: DataFrame, budget: float | str | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, source: str, tokens: str, unique: str, targets: DataFrame, budget: float | str | None = "all", seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents in the mix with ``copies``, report by source).
 
     ``budget`` is a number of tokens, ``"all"`` for the tokens of all listed sources, or
     None. ``targets`` has source, target_share and max_repeats. The report has source,
     target_share, max_repeats, tokens (of the source once), taken_tokens, taken_docs,
-    epochs and actual_share.
+    left_tokens (of the source, in no copy, if less than one repetition is taken), epochs,
+    at_cap (the target was out of reach) and actual_share.
     """
     wanted = targets.where("source is not null").limit(MAX_SOURCES + 1).collect()
     if len(wanted) > MAX_SOURCES:
@@ -120,6 +121,8 @@ def mix(docs: DataFrame, source: str, tokens: str, unique: str, targets: DataFra
     report = report.withColumn("_t", F.sum("taken_tokens").over(Window.partitionBy()))
     return got, report.select(
         "source", "target_share", "max_repeats", "tokens", "taken_tokens", "taken_docs",
+        F.greatest(F.col("tokens") - F.col("taken_tokens"), F.lit(0)).cast("bigint").alias("left_tokens"),
+        (F.col("taken_tokens") >= F.col("tokens") * F.col("max_repeats")).alias("at_cap"),
         F.when(F.col("tokens") > 0, F.col("taken_tokens") / F.col("tokens")).otherwise(0.0).alias("epochs"),
         F.when(F.col("_t") > 0, F.col("taken_tokens") / F.col("_t")).otherwise(0.0).alias("actual_share"),
     )

@@ -99,29 +99,29 @@ def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
     return tokens.decode(p8_ids(spark, d), "doc_id", "ids")
 
 
-def _mixed(spark: SparkSession, d: str, budget: float | str | None = None) -> tuple[DataFrame, DataFrame]:
+def _mixed(spark: SparkSession, d: str, budget: float | str | None = "all") -> tuple[DataFrame, DataFrame]:
     targets = table(spark, d, "mix_targets")
     docs = table(spark, d, "documents").select("doc_id", "source", "text").join(F.broadcast(targets.select("source")), "source", "left_semi")
-    sized = materialise(tokens.count(docs, "text", "n_tokens").select("doc_id", "source", "n_tokens"))
+    sized = materialise(tokens.count(docs, "text", "n_tokens"))
     return mixing.mix(sized, "source", "n_tokens", "doc_id", targets, budget)
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The mix with as many tokens as all listed sources together: sources short of their target are clamped, the rest water-fills."""
     return _mixed(spark, d)[0].select("doc_id", "source", "n_tokens", "copies")
 
 
-def p9_mix_all_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """The mix with as many tokens as all listed sources together: sources short of their target are clamped."""
-    return _mixed(spark, d, "all")[0].select("doc_id", "source", "n_tokens", "copies")
+def p9_mix_on_target(spark: SparkSession, d: str) -> DataFrame:
+    """The largest mix in which every source with documents reaches its target; the scarcest source limits it."""
+    return _mixed(spark, d, None)[0].select("doc_id", "source", "n_tokens", "copies")
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1]
 
 
-def p9_shares_all_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """The shares when the mix must have as many tokens as all listed sources together."""
-    return _mixed(spark, d, "all")[1]
+def p9_shares_on_target(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d, None)[1]
 
 
 def p10_languages(spark: SparkSession, d: str) -> DataFrame:

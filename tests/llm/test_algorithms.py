@@ -119,6 +119,34 @@ def test_neighbours_of_one_direction_are_ranked_by_id(spark):
         assert [b for _, b in sorted(got[i])] == [j for j in own if j != i][:5]
 
 
+def test_a_direction_shared_by_a_third_of_all_vectors(spark):
+    """More vectors of one direction than stand for themselves: the rest follow and get the smallest ids."""
+    rng = np.random.default_rng(8)
+    n, hot = 6000, 2000
+    one = rng.normal(size=64)
+    x = np.where((np.arange(n) % 3 == 0)[:, None], one * 2.0 ** rng.integers(-3, 4, (n, 1)), rng.normal(size=(n, 64)))
+    df = spark.createDataFrame([(int(i), [float(np.float32(v)) for v in r]) for i, r in enumerate(x)], "vec_id long, vec array<float>").repartition(5)
+    got = {}
+    for r in neighbours.similar(df, "vec_id", "vec", 64, 5, 0.8).collect():
+        got.setdefault(r.vec_id, []).append((r.place, r.nn_vec_id))
+    ids = list(range(0, n, 3))
+    assert len(ids) == hot > neighbours.SALTS * 8
+    for i in ids:
+        assert [b for _, b in sorted(got[i])] == [j for j in ids[:6] if j != i][:5] and [p for p, _ in sorted(got[i])] == [1, 2, 3, 4, 5]
+
+
+def test_collisions_are_counted_by_grid():
+    """A pair in two lists of one grid counts once, windows cut far values, and a list may span batches."""
+    import pyarrow as pa
+
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.float32()), pa.array([r[2] for r in rows])], names=neighbours._ENTRY.names)
+    entries = [(3, 0.0, 1), (3, 0.1, 2), (5, 0.0, 1), (5, 0.1, 2), (13, 0.0, 2), (13, 0.3, 1), (13, 0.9, 4), (17, 0.0, 5), (17, 0.1, 6), (25, 0.0, 6), (25, 0.05, 5)]
+    for cut in (3, 6, 11):
+        packs = list(neighbours._collide([0.2, 0.5], 10, 1)(iter([batch(entries[:cut]), batch(entries[cut:])])))
+        got = {(r["a"], r["b"], r["level"]) for b in neighbours._count(iter(packs)) for r in b.to_pylist()}
+        assert got == {(1, 2, 1), (5, 6, 0)}
+
+
 def test_copies(spark):
     q = ["Hello, World", "hello world!", "HELLO​ WORLD", "hello word", "a: 1; b: 2", "B:2\na : 1;", "a: 2; b: 1", None, "...", "ich heiße", "ICH HEISSE", "1+1", "11"]
     rows = [(i, "r", 5.0, t) for i, t in enumerate(q)] + [(50, "s", 5.0, "hello world"), (51, "r", None, "hello world"), (52, "r", float("nan"), "hello world"), (53, "r", 5.0, "x" * 50_000), (54, "r", 5.0, "X" * 50_000)]
@@ -136,9 +164,27 @@ def test_runs_over_partition_borders_meet():
     import pyarrow as pa
 
     batch = lambda k, i, p: pa.RecordBatch.from_arrays([pa.array(k, pa.binary()), pa.array(i, pa.int64()), pa.array([p] * len(i), pa.int32())], names=["key", "row_id", "part"])
-    one = [r for b in copies._scan(iter([batch([b"a", b"b"], [1, 2], 0), batch([b"b"], [3], 0)])) for r in b.to_pylist()]
-    assert [(r["kind"], r["first_row_id"], r["row_id"]) for r in one] == [(1, 1, 1), (0, 2, 3), (2, 1, None)]
-    assert (one[-1]["last_key"], one[-1]["last_run"], one[-1]["runs"]) == (b"b", 2, 2)
+    scan = lambda *b: [r for x in copies._scan(iter(b)) for r in x.to_pylist()]
+    one = scan(batch([b"a", b"b"], [1, 2], 0), batch([b"b"], [3], 0))
+    assert [(r["kind"], r["first_row_id"], r["row_id"]) for r in one] == [(copies.FIRST, 1, 1), (copies.COPY, 2, 3), (copies.BORDER, 1, None)]
+    assert (one[-1]["last_key"], one[-1]["last_run"], one[-1]["n"], one[-1]["first_n"], one[-1]["last_n"]) == (b"b", 2, 2, 1, 2)
+    two = scan(batch([b"b", b"b", b"c", b"d", b"d"], [4, 5, 6, 7, 8], 1), batch([b"d", b"e"], [9, 10], 1))
+    assert {(r["first_row_id"], r["n"]) for r in two if r["kind"] == copies.RUN} == {(6, 1), (7, 3)}
+    assert (two[-1]["first_n"], two[-1]["last_run"], two[-1]["last_n"], two[-1]["n"]) == (2, 10, 1, 4)
+    assert scan(batch([b"z"], [1], 2), batch([b"z"], [2], 2))[-1]["first_n"] == 2
+    assert len(scan(batch([b"z" * 9999], [1], 3))[-1]["last_key"]) < 64
+
+
+def test_copies_over_many_partitions(spark):
+    """One record with a third of all rows, cut over partitions: copies and exact counts equal a plain grouping."""
+    rows = [(i, "r", 1.0, "hot record" if i % 3 == 0 else f"record {i % 700}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "row_id long, own_run string, pv double, query string")
+    by = {}
+    for i, _, _, q in rows:
+        by.setdefault(q, []).append(i)
+    got = {(r.first_row_id, r.row_id) for r in copies.find_copies(df, "row_id", ["own_run", "pv"], "query").collect()}
+    assert got == {(v[0], x) for v in by.values() for x in v[1:]}
+    assert {r.first_row_id: r.n_copies for r in copies.collapse(df, "row_id", ["own_run", "pv"], "query").collect()} == {v[0]: len(v) for v in by.values()}
 
 
 LEAVES = {"mock": ["{} mock test", "take a {} mock test", "full mock test of the {}"], "pdf": ["{} pdf download", "download the {} as pdf", "free pdf of the {}"]}
@@ -198,14 +244,17 @@ def test_water_filling():
     assert [round(x.amount) for x in s] == [200, 800, 0]
     s = mixing.fill([mixing.Source("a", 0.5, 2, 100), mixing.Source("b", 0.5, 1, 1000)])
     assert [round(x.amount) for x in s] == [200, 200] and (s[0].whole, s[1].whole) == (2, 0)
+    # two sources are clamped one after the other: what the first leaves lifts the second above its cap
+    s = mixing.fill([mixing.Source("a", 0.4, 1, 100), mixing.Source("b", 0.3, 1, 320), mixing.Source("c", 0.3, 2, 1000)], 1000.0)
+    assert [round(x.amount) for x in s] == [100, 320, 580]
 
 
 def test_mix_of_all_tokens_is_registered_and_clamped(spark):
     from lodeline.llm import queries
 
     q, d = queries.queries(), "/root/testdata/sf0.001"
-    rows = q["p9_mix_all_tokens"](spark, d).collect()
-    report = q["p9_shares_all_tokens"](spark, d).collect()
+    rows = q["p9_mix"](spark, d).collect()
+    report = q["p9_shares"](spark, d).collect()
     taken = Counter()
     for r in rows:
         taken[r.source] += r.n_tokens * r.copies
@@ -219,13 +268,13 @@ def test_mix_reaches_the_targets_and_caps(spark):
     docs = [(i, rng.choice(["big"] * 8 + ["small", None, "other"]), rng.randrange(0, 400)) for i in range(4000)]
     df = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("big", 0.6, 1), ("small", 0.3, 4), ("empty", 0.1, 3)], "source string, target_share double, max_repeats int")
-    got, report = mixing.mix(df, "source", "n_tokens", "doc_id", targets)
+    got, report = mixing.mix(df, "source", "n_tokens", "doc_id", targets, None)
     r = {x.source: x for x in report.collect()}
     assert abs(r["big"].actual_share - 2 / 3) < 0.005 and abs(r["small"].actual_share - 1 / 3) < 0.005 and r["empty"].actual_share == 0
     rows = got.collect()
     cap = {"big": 1, "small": 4}
     assert all(1 <= x.copies <= cap[x.source] for x in rows) and len(rows) == len({x.doc_id for x in rows})
-    again, _ = mixing.mix(df.repartition(3), "source", "n_tokens", "doc_id", targets)
+    again, _ = mixing.mix(df.repartition(3), "source", "n_tokens", "doc_id", targets, None)
     assert {(x.doc_id, x.copies) for x in again.collect()} == {(x.doc_id, x.copies) for x in rows}
     none, report = mixing.mix(df.limit(0), "source", "n_tokens", "doc_id", targets)
     assert none.count() == 0 and all(x.actual_share == 0 for x in report.collect())

@@ -107,9 +107,13 @@ def test_find_disguised(spark):
 TEXTS = [None, "", "   ", "\n", "Hello world's <|endoftext|> end", "你好，世界 12345", "🙂🙂 7\r\n\tx  y", "ab" * 20_000, "Hello world's <|endoftext|> end"]
 
 
-def test_tokens_round_trip(spark):
+@pytest.mark.parametrize("common", [0, 3, tokens.COMMON])
+def test_tokens_round_trip(spark, monkeypatch, common):
+    """Whatever part of the words is put in without a shuffle."""
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(tokens, "COMMON", common)
+
     t = Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
     t.encode_special_tokens = True
     df = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(TEXTS)], "doc_id long, text string, ids string")
