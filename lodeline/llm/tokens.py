@@ -83,17 +83,27 @@ def _common(vocab: DataFrame) -> dict[str, list[int]]:
 def _put(common: dict[str, list[int]]):
     """Words in the first column become the ids of common words, -1 in place of each other word, and these words in order."""
 
+    hole = [-1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hole = [-1]
         for batch in batches:
-            known, rest = [], []
-            for words in batch.column(0).to_pylist():
-                out: list[int] = []
-                for w in words:
-                    out += common.get(w, hole)
-                known.append(np.array(out, np.int32).tobytes())
-                rest.append([w for w in words if w not in common])
-            yield pa.RecordBatch.from_arrays([pa.array(known, pa.binary()), pa.array(rest, pa.list_(pa.string())), *batch.columns[1:]], names=["_known", "_rest", *batch.schema.names[1:]])
+            lists = batch.column(0)
+            ends = lists.offsets.to_numpy()
+            flat = lists.flatten()
+            coded = flat.dictionary_encode()  # each distinct word of the batch is looked up once
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            each = [common.get(w, hole) for w in coded.dictionary.to_pylist()]
+            length = np.array([len(e) for e in each], np.int64)
+            start = np.cumsum(length) - length
+            values = np.array([i for e in each for i in e], np.int32)
+            sizes = length[code]
+            total = np.r_[0, np.cumsum(sizes)]
+            ids = values[np.repeat(start[code] - total[:-1], sizes) + np.arange(total[-1])] if len(code) else np.empty(0, np.int32)
+            other = np.array([e is hole for e in each], bool)[code]
+            at = ends - ends[0]
+            known = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer((total[at] * 4).astype(np.int32)), pa.py_buffer(ids)])
+            rest = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(other)][at].astype(np.int32)), flat.filter(pa.array(other)))
+            yield pa.RecordBatch.from_arrays([known, rest, *batch.columns[1:]], names=["_known", "_rest", *batch.schema.names[1:]])
 
     return run
 
