@@ -2,24 +2,26 @@
 
 Each language is a unigram distribution over the pieces of a fixed public vocabulary. The
 probability of a word is the sum over all its segmentations into pieces, computed by the
-forward algorithm; a line is scored by its words. The distributions are fitted by
-expectation-maximisation over segmentations on a bounded sample of labelled documents
-(``FIT_DOCS``), whose lines are relabelled between rounds, so wrong labels and mixed
-documents in the sample do little harm.
+forward algorithm for all distinct words of a batch at once; a line is scored by its words.
+The distributions are fitted by expectation-maximisation over segmentations on a bounded
+sample of labelled documents (at most ``FIT_DOCS`` documents and ``FIT_CHARS`` characters),
+whose lines are relabelled between rounds, so wrong labels and mixed documents in the sample
+do little harm.
 
 Quoted words, markup, addresses of pages, data (``{...}``) and names of special tokens are
-no running text. A document without running text has no language. A line with running text
-gets its language and the posterior as its confidence; lines too short to tell
-(``SHORT`` letters) take part in the document's vote alone. A document whose lines are in
-several languages is given line by line, any other as a whole (segment 0).
-
-Null, empty and blank texts have no language. Repeated rows give repeated results. Lines are
-separated by line feeds and counted from 1; a carriage return before one is no text.
+no running text. A document without running text has no language. Every line with running
+text gets its most probable language with the posterior as its confidence, however short it
+is. A document is mixed if lines judged with a confidence of at least ``SURE`` are in several
+languages; it is given line by line, any other as a whole (segment 0).
+
+Words, or runs of scripts without spaces, of more than ``MAX_WORD`` characters are scored in
+parts of that length, so no product leaves the range of the floats. Null, empty and blank
+texts have no language. Repeated rows give repeated results. Lines are separated by line
+feeds and counted from 1; a carriage return before one is no text.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -28,179 +30,219 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 FOLDER, VOCABULARY = "/opt/tokenizers", "piece_bpe_32k.model"
-FIT_DOCS, EM_ROUNDS, RELABELS = 3000, 3, 2
+FIT_DOCS, FIT_CHARS, EM_ROUNDS, RELABELS = 3000, 8_000_000, 3, 2
 LANGUAGES = ("de", "en", "es", "fr", "ja", "pt", "zh")
 # Codes of the languages in ISO 639-1, 639-2 and by name.
 CODES = {"de": "de", "deu": "de", "ger": "de", "german": "de", "en": "en", "eng": "en", "english": "en", "es": "es", "spa": "es", "spanish": "es", "fr": "fr", "fra": "fr", "fre": "fr", "french": "fr", "ja": "ja", "jp": "ja", "jpn": "ja", "japanese": "ja", "pt": "pt", "por": "pt", "portuguese": "pt", "zh": "zh", "zho": "zh", "chi": "zh", "cmn": "zh", "cn": "zh", "chinese": "zh"}
-#: Letters a line of words, or of a script without spaces, needs to be judged alone.
-SHORT, SHORT_HAN = 12, 4
-MAX_WORD = 64
+#: Confidence from which lines in other languages make a document mixed, and letters a line of the sample needs to be relabelled.
+SURE, RELABEL = 0.9, 4
+MAX_WORD = 40
+#: Nats a character costs about: products are kept near 1 by as much a character.
+COST = 6.0
 
 _QUOTED = re.compile(r"[“„][^“”„\n]*[”“]|«[^»\n]*»|「[^」\n]*」|『[^』\n]*』|‹[^›\n]*›|\"[^\"\n]*\"")
 _NOT_TEXT = re.compile(r"https?://\S+|www\.\S+|<\|[a-z_]+\|>|<[^>\n]*>|`[^`\n]*`|\S+@\S+|\{[^}\n]*\}|\[[^\]\n]*\]\([^)\n]*\)")
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]")
 _SCRIPT = re.compile(r"[぀-ヿ㐀-鿿豈-﫿々]+|[^぀-ヿ㐀-鿿豈-﫿々]+")
 
 
 def words_of(line: str) -> list[str]:
     """Words of the running text of a line; runs of scripts without spaces count as words."""
     line = _NOT_TEXT.sub(" ", _QUOTED.sub(" ", line))
-    return [w[:MAX_WORD].lower() if len(w) <= MAX_WORD else w.lower() for x in _WORD.findall(line) for w in _pieces_of_length(x)]
+    return [w.lower() for x in _WORD.findall(line) for w in _pieces_of_length(x)]
 
 
 def _pieces_of_length(word: str) -> list[str]:
     return [r[i : i + MAX_WORD] for r in _SCRIPT.findall(word) for i in range(0, len(r), MAX_WORD)]
 
 
-def _class(c: str) -> str:
+CLASSES = ("<kana>", "<han>", "<latin>", "<other>")
+
+
+def _class(c: str) -> int:
     n = ord(c)
     if 0x3040 <= n <= 0x30FF:
-        return "<kana>"
+        return 0
     if 0x3400 <= n <= 0x9FFF or 0xF900 <= n <= 0xFAFF:
-        return "<han>"
-    return "<latin>" if n < 0x250 else "<other>"
+        return 1
+    return 2 if n < 0x250 else 3
 
 
 @lru_cache(maxsize=2)
-def pieces(path: str) -> frozenset[str]:
+def pieces(path: str) -> tuple[str, ...]:
     """The pieces of the vocabulary, in lower case; a leading mark stands for the start of a word."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
-    return frozenset(p.lower() for i in range(sp.get_piece_size()) if not sp.is_byte(i) and not sp.is_control(i) and not sp.is_unknown(i) for p in [sp.id_to_piece(i)])
+    return tuple(sorted({sp.id_to_piece(i).lower() for i in range(sp.get_piece_size()) if not sp.is_byte(i) and not sp.is_control(i) and not sp.is_unknown(i)}))
+
+
+class Lattice:
+    """All segmentations of some words: an edge for each piece at each place, from any single character on.
+
+    ``known`` maps a piece to its number, and a mere beginning of pieces to -1. Characters
+    that are no piece stand for their class, the numbers after the pieces.
+    """
+
+    def __init__(self, words: list[str], known: dict[str, int], n_pieces: int) -> None:
+        self.size = np.array([len(w) + 1 for w in words], np.int64)
+        word, start, length, piece = [], [], [], []
+        get = known.get
+        for k, w in enumerate(words):
+            s = "▁" + w
+            n = len(s)
+            for i in range(n):
+                one = get(s[i], None)
+                word.append(k)
+                start.append(i)
+                length.append(1)
+                piece.append(one if one is not None and one >= 0 else n_pieces + _class(s[i]))
+                j = i + 2
+                while j <= n and (one is not None or j == i + 2):
+                    one = get(s[i:j])
+                    if one is None:
+                        break
+                    if one >= 0:
+                        word.append(k)
+                        start.append(i)
+                        length.append(j - i)
+                        piece.append(one)
+                    j += 1
+        order = np.lexsort((length, start))
+        self.word, self.start, self.length, self.piece = (np.array(x, np.int64)[order] for x in (word, start, length, piece))
+        # steps: edges of one start and length, so that no word occurs twice in a step
+        new = np.flatnonzero((np.diff(self.start) != 0) | (np.diff(self.length) != 0)) + 1
+        self.steps = list(zip(np.r_[0, new], np.r_[new, len(order)])) if len(order) else []
+
+    def forward(self, p: np.ndarray) -> np.ndarray:
+        """(place, word, language) sums over all beginnings; ``p`` has an edge's probability by language."""
+        f = np.zeros((int(self.size.max(initial=0)) + 1, len(self.size), p.shape[1]))
+        f[0] = 1
+        for a, b in self.steps:
+            i, j = self.start[a], self.start[a] + self.length[a]
+            w = self.word[a:b]
+            f[j, w] += f[i, w] * p[a:b]
+        return f
+
+    def backward(self, p: np.ndarray) -> np.ndarray:
+        g = np.zeros((int(self.size.max(initial=0)) + 1, len(self.size), p.shape[1]))
+        g[self.size, np.arange(len(self.size))] = 1
+        for a, b in reversed(self.steps):
+            i, j = self.start[a], self.start[a] + self.length[a]
+            w = self.word[a:b]
+            g[i, w] += g[j, w] * p[a:b]
+        return g
+
+    def ends(self, f: np.ndarray) -> np.ndarray:
+        return f[self.size, np.arange(len(self.size))]
+
+
+def _blocks(words: list[str], most: int = 8192) -> Iterator[list[str]]:
+    """Words of about one length together."""
+    by = sorted(words, key=len)
+    for i in range(0, len(by), most):
+        yield by[i : i + most]
 
 
 @dataclass
 class Model:
-    """Log probabilities of pieces, a row of ``LANGUAGES`` each."""
+    """Probabilities of pieces and then classes, a column of ``LANGUAGES`` each."""
 
-    table: dict[str, np.ndarray] = field(default_factory=dict)
-    longest: int = 1
-    floor: np.ndarray | None = None
+    known: dict[str, int] = field(default_factory=dict)
+    n_pieces: int = 0
+    table: np.ndarray | None = None
     _cache: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_cache": {}}
 
-    def _edges(self, word: str, i: int) -> Iterator[tuple[int, np.ndarray]]:
-        yield i + 1, self.table.get(word[i], self.table.get(_class(word[i]), self.floor))
-        for j in range(i + 2, min(len(word), i + self.longest) + 1):
-            p = self.table.get(word[i:j])
-            if p is not None:
-                yield j, p
-
-    def word(self, w: str) -> np.ndarray:
-        """Log probability of a word in each language, over all segmentations."""
-        got = self._cache.get(w)
-        if got is None:
-            s = "▁" + w
-            a = np.full((len(s) + 1, len(LANGUAGES)), -np.inf)
-            a[0] = 0
-            for i in range(len(s)):
-                for j, p in self._edges(s, i):
-                    a[j] = np.logaddexp(a[j], a[i] + p)
-            got = a[-1]
-            if len(self._cache) < 300_000:
-                self._cache[w] = got
-        return got
-
-    def line(self, words: list[str]) -> np.ndarray:
-        """Posterior over the languages."""
-        s = np.sum([self.word(w) for w in words], axis=0)
-        p = np.exp(s - s.max())
-        return p / p.sum()
-
-
-def _expected(m: Model, k: int, counts: Counter, vocabulary: frozenset[str], longest: int, prob: dict[str, float]) -> Counter:
-    """Expected uses of pieces in the words of one language (forward and backward over each distinct word)."""
-    out: Counter[str] = Counter()
-    for w, n in counts.items():
-        s = "▁" + w
-        size = len(s)
-        f, b = [0.0] * (size + 1), [0.0] * (size + 1)
-        f[0] = b[size] = 1.0
-        edges = []
-        for i in range(size):
-            one = s[i] if s[i] in vocabulary else _class(s[i])
-            edges.append((i, i + 1, one, prob.get(one, 1e-6)))
-            for j in range(i + 2, min(size, i + longest) + 1):
-                if s[i:j] in vocabulary:
-                    edges.append((i, j, s[i:j], prob.get(s[i:j], 1e-9)))
-        for i, j, _, p in edges:
-            f[j] += f[i] * p
-        for i, j, _, p in reversed(edges):
-            b[i] += b[j] * p
-        if f[size] > 0:
-            for i, j, t, p in edges:
-                out[t] += n * f[i] * p * b[j] / f[size]
+    def words(self, words: set[str]) -> dict[str, np.ndarray]:
+        """Log probability of each word in each language, over all segmentations."""
+        if len(self._cache) > 200_000:
+            self._cache.clear()
+        for block in _blocks([w for w in words if w not in self._cache]):
+            x = Lattice(block, self.known, self.n_pieces)
+            p = self.table[x.piece] * np.exp(COST * x.length)[:, None]
+            score = np.log(x.ends(x.forward(p))) - COST * x.size[:, None]
+            self._cache.update(zip(block, score))
+        return self._cache
+
+    def posteriors(self, lines: list[list[str]]) -> np.ndarray:
+        """Of lines, each of at least one word."""
+        score = self.words({w for x in lines for w in x})
+        s = np.array([np.sum([score[w] for w in x], axis=0) for x in lines]).reshape(-1, len(LANGUAGES))
+        p = np.exp(s - s.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+
+def _with_beginnings(known: dict[str, int]) -> dict[str, int]:
+    out = dict(known)
+    for p in known:
+        for i in range(1, len(p)):
+            out.setdefault(p[:i], -1)
     return out
 
 
 def fit(docs: list[tuple[str, str]], path: str) -> Model:
     """A model from (text, language) of a bounded sample."""
     vocabulary = pieces(path)
-    longest = min(12, max(map(len, vocabulary)))
+    n, width = len(vocabulary), len(vocabulary) + len(CLASSES)
+    known = _with_beginnings({p: i for i, p in enumerate(vocabulary)})
     lines = [(w, l) for text, l in docs for x in text.split("\n") if (w := words_of(x))]
-    model = Model(longest=longest)
+    model = Model()
     for round_ in range(RELABELS + 1):
         by: dict[str, Counter] = defaultdict(Counter)
         for w, l in lines:
             by[l].update(w)
-        probs = []
+        uses = np.zeros((width, len(LANGUAGES)))
         for k, l in enumerate(LANGUAGES):
-            counts = by[l]
-            uses: Counter[str] = Counter()
-            for w, n in counts.items():
-                s = "▁" + w
-                for i in range(len(s)):
-                    uses[s[i] if s[i] in vocabulary else _class(s[i])] += n
-                    for j in range(i + 2, min(len(s), i + longest) + 1):
-                        if s[i:j] in vocabulary:
-                            uses[s[i:j]] += n
+            blocks = [(Lattice(b, known, n), np.array([by[l][w] for w in b], float)) for b in _blocks(list(by[l]))]
+            use = sum((np.bincount(x.piece, c[x.word], width) for x, c in blocks), np.zeros(width))
             for _ in range(EM_ROUNDS):
-                total = sum(uses.values()) or 1
-                prob = {t: n / total for t, n in uses.items()}
-                # long words are scored in parts, so plain products do not underflow here
-                uses = _expected(model, k, counts, vocabulary, longest, prob)
-            probs.append((uses, sum(uses.values())))
-        every = set().union(*[u for u, _ in probs]) | {"<kana>", "<han>", "<latin>", "<other>"}
-        size = len(vocabulary)
-        model = Model(longest=longest)
-        model.floor = np.array([math.log(0.01 / (t + 0.01 * size)) for _, t in probs])
-        model.table = {p: np.array([math.log((u.get(p, 0.0) + 0.01) / (t + 0.01 * size)) for u, t in probs]) for p in every}
-        if round_ < RELABELS:
-            lines = [(w, LANGUAGES[int(model.line(w).argmax())] if sum(map(len, w)) >= SHORT_HAN else l) for w, l in lines]
+                prob = use / max(1.0, use.sum())
+                prob = np.where(prob > 0, prob, np.where(np.arange(width) < n, 1e-9, 1e-6))
+                use = np.zeros(width)
+                for x, c in blocks:
+                    p = (prob[x.piece] * np.exp(COST * x.length))[:, None]
+                    f, g = x.forward(p), x.backward(p)
+                    at = x.start + x.length
+                    through = (f[x.start, x.word] * p * g[at, x.word])[:, 0]
+                    use += np.bincount(x.piece, c[x.word] * through / x.ends(f)[x.word, 0], width)
+            uses[:, k] = use
+        total = uses.sum(0)
+        seen = {p: i for i, p in enumerate(vocabulary) if uses[i].any()}
+        model = Model(_with_beginnings(seen), n, (uses + 0.01) / (total + 0.01 * n))
+        if round_ < RELABELS and lines:
+            best = model.posteriors([w for w, _ in lines]).argmax(1)
+            lines = [(w, LANGUAGES[b] if sum(map(len, w)) >= RELABEL else l) for (w, l), b in zip(lines, best)]
     return model
 
 
-def judge(m: Model, text: str) -> tuple[list[tuple[int, str, float]], str | None, float]:
-    """Lines that can be judged (number from 1, language, confidence), and the language and confidence of the whole."""
-    lines = []
-    whole = np.zeros(len(LANGUAGES))
-    any_ = False
-    for i, x in enumerate(text.split("\n"), 1):
-        w = words_of(x)
-        letters = sum(map(len, w))
-        if not letters:
+def judge(m: Model, texts: list[str]) -> list[tuple[list[tuple[int, str, float]], str | None, float, bool]]:
+    """Of each text: its lines (number from 1, language, confidence), language and confidence of the whole, whether it is mixed."""
+    lines = [(k, i, w) for k, text in enumerate(texts) for i, x in enumerate(text.split("\n"), 1) if (w := words_of(x))]
+    p = m.posteriors([w for _, _, w in lines])
+    best = p.argmax(1)
+    each: list[list[int]] = [[] for _ in texts]
+    for row, (k, _, _) in enumerate(lines):
+        each[k].append(row)
+    out = []
+    for rows in each:
+        if not rows:
+            out.append(([], None, 0.0, False))
             continue
-        p = m.line(w)
-        whole += np.log(p + 1e-12)
-        any_ = True
-        if (letters >= SHORT and len(w) > 1) or sum(len(z) for z in w if _WIDE.match(z)) >= SHORT_HAN:
-            k = int(p.argmax())
-            lines.append((i, LANGUAGES[k], float(p[k])))
-    if not any_:
-        return [], None, 0.0
-    p = np.exp(whole - whole.max())
-    p /= p.sum()
-    k = int(p.argmax())
-    return lines, LANGUAGES[k], float(p[k])
+        whole = np.log(p[rows] + 1e-12).sum(0)
+        q = np.exp(whole - whole.max())
+        q /= q.sum()
+        sure = {int(best[r]) for r in rows if p[r, best[r]] >= SURE}
+        k = sure.pop() if len(sure) == 1 else int(q.argmax())
+        out.append(([(lines[r][1], LANGUAGES[best[r]], float(p[r, best[r]])) for r in rows], LANGUAGES[k], float(q[k]), len(sure) > 1))
+    return out
 
 
 # ---------------------------------------------------------------------------- Spark
@@ -214,10 +256,11 @@ def label_code(lang: Column) -> Column:
 
 
 def fit_model(df: DataFrame, row_id: str, text: str, lang: str, folder: str = FOLDER) -> Model:
-    """The model of a table, from at most about ``FIT_DOCS`` of its labelled rows, chosen by a hash of their id."""
-    rows = df.select(F.col(row_id).alias("i"), F.col(text).alias("t"), label_code(F.col(lang)).alias("l")).where(F.col("l").isin(*LANGUAGES) & (F.length("t") > 0))
-    every = max(1, math.ceil(rows.count() / FIT_DOCS))
-    sample = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(every)) == 0).orderBy("i").limit(2 * FIT_DOCS).collect()
+    """The model of a table, from at most ``FIT_DOCS`` of its labelled rows, chosen by a hash of id and text, and of ``FIT_CHARS`` characters in all."""
+    rows = df.select(F.col(row_id).alias("i"), F.col(text).alias("t"), label_code(F.col(lang)).alias("l")).where(F.col("l").isin(*LANGUAGES) & (F.length("t") > 0) & (F.length("t") <= FIT_CHARS))
+    chosen = rows.orderBy(F.xxhash64("i", "t"), "i").limit(FIT_DOCS)
+    w = Window.orderBy(F.xxhash64("i", "t"), "i")  # over at most FIT_DOCS rows
+    sample = chosen.withColumn("_n", F.sum(F.length("t")).over(w)).where(F.col("_n") <= FIT_CHARS).collect()
     return fit([(r.t, r.l) for r in sample], f"{folder}/{VOCABULARY}")
 
 
@@ -235,13 +278,10 @@ def judge_rows(df: DataFrame, row_id: str, text: str, lang: str, folder: str = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
-            for i, t, l in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                lines, whole, sure = judge(model, t)
+            ids, texts, labels = (batch.column(k).to_pylist() for k in range(3))
+            for i, l, (lines, whole, sure, mixed) in zip(ids, labels, judge(model, texts)):
                 if whole is None:
                     continue
-                mixed = len({x[1] for x in lines}) > 1
-                if not mixed and lines:
-                    whole = lines[0][1]
                 for segment, lang_, conf in [(0, whole, sure), *(lines if mixed else [])]:
                     for c, v in zip(out, (i, segment, lang_, conf, mixed, l)):
                         c.append(v)

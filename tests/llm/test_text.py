@@ -141,8 +141,23 @@ def test_languages(spark):
 def test_forward_sums_all_segmentations():
     import numpy as np
 
-    m = language.Model(longest=3, floor=np.full(7, -50.0))
     p = {"▁": 0.2, "a": 0.3, "b": 0.1, "ab": 0.15, "▁a": 0.25}
-    m.table = {k: np.full(7, np.log(v)) for k, v in p.items()}
+    known = {k: i for i, k in enumerate(p)}
+    m = language.Model(language._with_beginnings(known), len(p), np.array([[v] * 7 for v in [*p.values(), 1e-9, 1e-9, 1e-9, 1e-9]]))
     want = p["▁"] * p["a"] * p["b"] + p["▁"] * p["ab"] + p["▁a"] * p["b"]
-    assert np.allclose(np.exp(m.word("ab")), want)
+    got = m.words({"ab", "a", "b" * 40})
+    assert np.allclose(np.exp(got["ab"]), want) and np.allclose(np.exp(got["a"]), p["▁"] * p["a"] + p["▁a"])
+    assert np.allclose(got["b" * 40], np.log(0.2) + 40 * np.log(0.1))
+    # forward and backward agree at every place, for words of different lengths
+    x = language.Lattice(["ab", "a", "abab"], m.known, m.n_pieces)
+    q = m.table[x.piece]
+    f, g = x.forward(q), x.backward(q)
+    assert np.allclose(x.ends(f), g[0]) and np.isfinite(np.log(x.ends(f))).all()
+
+
+def test_short_lines_are_judged(spark):
+    """No length decides: a line of one word has a row in a mixed document, and does not make one alone unless it is sure."""
+    train = [(i, t, l) for i, (t, l) in enumerate([(EN, "en"), (DE, "de"), (ZH, "zh")] * 8)]
+    df = spark.createDataFrame([*train, (100, EN + "\n" + DE + "\nfilter", None)], "doc_id long, text string, lang string")
+    rows = {r.segment: r for r in language.judge_rows(df, "doc_id", "text", "lang").where("doc_id = 100").collect()}
+    assert set(rows) == {0, 1, 2, 3} and all(0 < r.confidence <= 1 for r in rows.values())
