@@ -45,20 +45,32 @@ MAX_WORD = 40
 #: Nats a character costs about: products are kept near 1 by as much a character.
 COST = 6.0
 
+_QUOTES = frozenset("“„«「『‹\"")
 _QUOTED = re.compile(r"[“„][^“”„\n]*[”“]|«[^»\n]*»|「[^」\n]*」|『[^』\n]*』|‹[^›\n]*›|\"[^\"\n]*\"")
-_NOT_TEXT = re.compile(r"https?://\S+|www\.\S+|<\|[a-z_]+\|>|<[^>\n]*>|`[^`\n]*`|\S+@\S+|\{[^}\n]*\}|\[[^\]\n]*\]\([^)\n]*\)")
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
-_SCRIPT = re.compile(r"[぀-ヿ㐀-鿿豈-﫿々]+|[^぀-ヿ㐀-鿿豈-﫿々]+")
+_NOT_TEXT = re.compile(r"https?://\S+|www\.\S+|<\|[a-z_]+\|>|<[^>\n]*>|`[^`\n]*`|\{[^}\n]*\}|\[[^\]\n]*\]\([^)\n]*\)")
+_NOT_TEXT_SIGNS = ("http", "www.", "<", "`", "{", "](")
+_MAILS = re.compile(r"\S+@\S+")
+_W = "\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff々"
+_WORD = re.compile(rf"[{_W}]{{1,{MAX_WORD}}}|[^\W\d_{_W}]+(?:['’][^\W\d_{_W}]+)*")
 
 
-def words_of(line: str) -> list[str]:
-    """Words of the running text of a line; runs of scripts without spaces count as words."""
-    line = _NOT_TEXT.sub(" ", _QUOTED.sub(" ", line))
-    return [w.lower() for x in _WORD.findall(line) for w in _pieces_of_length(x)]
+def running(text: str) -> str:
+    """The running text of a text, in lower case; what is left out becomes a space, lines stay."""
+    if not _QUOTES.isdisjoint(text):
+        text = _QUOTED.sub(" ", text)
+    if any(x in text for x in _NOT_TEXT_SIGNS):
+        text = _NOT_TEXT.sub(" ", text)
+    if "@" in text:
+        text = _MAILS.sub(" ", text)
+    return text.lower()
 
 
-def _pieces_of_length(word: str) -> list[str]:
-    return [r[i : i + MAX_WORD] for r in _SCRIPT.findall(word) for i in range(0, len(r), MAX_WORD)]
+def words_of(line: str) -> list[str]:
+    """Words of a line of :func:`running` text; runs of scripts without spaces count as words. Longer ones are cut."""
+    words = _WORD.findall(line)
+    if len(line) > MAX_WORD and max(map(len, words), default=0) > MAX_WORD:
+        words = [w[i : i + MAX_WORD] for w in words for i in range(0, len(w), MAX_WORD)]
+    return words
 
 
 CLASSES = ("<kana>", "<han>", "<latin>", "<other>")
@@ -174,8 +186,13 @@ class Model:
 
     def posteriors(self, lines: list[list[str]]) -> np.ndarray:
         """Of lines, each of at least one word."""
-        score = self.words({w for x in lines for w in x})
-        s = np.array([np.sum([score[w] for w in x], axis=0) for x in lines]).reshape(-1, len(LANGUAGES))
+        if not lines:
+            return np.empty((0, len(LANGUAGES)))
+        number: dict[str, int] = {}
+        at = [number.setdefault(w, len(number)) for x in lines for w in x]
+        score = self.words(set(number))
+        each = np.array([score[w] for w in number])
+        s = np.add.reduceat(each[at], np.r_[0, np.cumsum([len(x) for x in lines])[:-1]])
         p = np.exp(s - s.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
@@ -193,7 +210,7 @@ def fit(docs: list[tuple[str, str]], path: str) -> Model:
     vocabulary = pieces(path)
     n, width = len(vocabulary), len(vocabulary) + len(CLASSES)
     known = _with_beginnings({p: i for i, p in enumerate(vocabulary)})
-    lines = [(w, l) for text, l in docs for x in text.split("\n") if (w := words_of(x))]
+    lines = [(w, l) for text, l in docs for x in running(text).split("\n") if (w := words_of(x))]
     model = Model()
     for round_ in range(RELABELS + 1):
         by: dict[str, Counter] = defaultdict(Counter)
@@ -225,7 +242,7 @@ def fit(docs: list[tuple[str, str]], path: str) -> Model:
 
 def judge(m: Model, texts: list[str]) -> list[tuple[list[tuple[int, str, float]], str | None, float, bool]]:
     """Of each text: its lines (number from 1, language, confidence), language and confidence of the whole, whether it is mixed."""
-    lines = [(k, i, w) for k, text in enumerate(texts) for i, x in enumerate(text.split("\n"), 1) if (w := words_of(x))]
+    lines = [(k, i, w) for k, text in enumerate(texts) for i, x in enumerate(running(text).split("\n"), 1) if (w := words_of(x))]
     p = m.posteriors([w for _, _, w in lines])
     best = p.argmax(1)
     each: list[list[int]] = [[] for _ in texts]
