@@ -210,22 +210,68 @@ def test_clusters_of_requests(spark):
     assert sum(r.n_rows for r in d) == 1202 and all(1 <= len(r.typical) <= 3 for r in d)
 
 
-def test_rare_requests_about_a_hot_object_stay_apart():
-    """1,000 rows of one request and 5 of another, through both rounds of trees; and more requests than LEAVES."""
+def _vectors(vectors: dict[bytes, int], size: int = 1000) -> list:
+    import pyarrow as pa
+
+    rows = [("r", "x", v) for v, n in vectors.items() for _ in range(n)]
+    random.Random(0).shuffle(rows)
+    return [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), (pa.string(), pa.string(), pa.binary()))], names=["scope", "object", "vector"]) for i in range(0, len(rows), size)]
+
+
+def _by_cell(batches: list) -> list:
     import pyarrow as pa
 
-    def centres(vectors: dict[bytes, int]) -> np.ndarray:
-        leaves = list(clusters._leaves(Counter({("r", "x", v): n for v, n in vectors.items()})))
-        (got,) = [r for b in clusters._agglomerate(iter(leaves)) for r in b.to_pylist()]
-        assert got["n"] == sum(vectors.values())
-        return np.frombuffer(got["centres"], np.float32).reshape(-1, len(next(iter(vectors))))
+    rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["scope"], r["object"], r["cell"]))
+    return [pa.RecordBatch.from_pylist(rows, schema=batches[0].schema)]
 
+
+def _centres(vectors: dict[bytes, int]) -> np.ndarray:
+    merged = _by_cell(list(clusters._merge(iter(_by_cell(list(clusters._summarise(iter(_vectors(vectors)))))))))
+    (got,) = [r for b in clusters._agglomerate(iter(merged)) for r in b.to_pylist()]
+    assert got["n"] == sum(vectors.values())
+    return np.frombuffer(got["centres"], np.float32).reshape(-1, len(next(iter(vectors))))
+
+
+def test_rare_requests_about_a_hot_object_stay_apart():
+    """1,000 rows of one request and 5 of another, through both rounds of summaries; and more requests than LEAVES."""
     hot = lambda i, wide: bytes(255 if j == i else 0 for j in range(wide))
-    assert len(centres({hot(0, 3): 1000, hot(1, 3): 5})) == 2
-    assert len(centres({hot(0, 3): 100, hot(1, 3): 8})) == 2 and len(centres({hot(0, 3): 5, hot(1, 3): 1})) == 2
-    assert len(centres({hot(i, 300): 1000 if i == 7 else 5 for i in range(300)})) == 300
-    one = pa.RecordBatch.from_pylist([r for i in range(300) for r in next(clusters._leaves(Counter({("r", "x", hot(i, 300)): 5}))).to_pylist()], schema=next(clusters._leaves(Counter({("r", "x", hot(0, 300)): 5}))).schema)
-    assert len(next(clusters._agglomerate(iter([one]))).to_pylist()[0]["centres"]) == 300 * 300 * 4
+    assert len(_centres({hot(0, 3): 1000, hot(1, 3): 5})) == 2
+    assert len(_centres({hot(0, 3): 100, hot(1, 3): 8})) == 2 and len(_centres({hot(0, 3): 5, hot(1, 3): 1})) == 2
+    assert len(_centres({hot(i, 300): 1000 if i == 7 else 5 for i in range(300)})) == 300
+
+
+def test_features_do_not_depend_on_partitions():
+    """Summaries sent early and from several partitions merge to exactly those of one pass."""
+    rng = np.random.default_rng(5)
+    vectors = {bytes(rng.integers(0, 256, 5).astype(np.uint8)): int(rng.integers(1, 4)) for _ in range(400)}
+    batches = _vectors(vectors, 100)
+    whole = [b.to_pylist() for b in clusters._merge(iter(_by_cell(list(clusters._summarise(iter(batches))))))]
+    for parts in (3, 8):
+        summaries = [x for k in range(parts) for x in clusters._summarise(iter(batches[k::parts][::-1]))]
+        assert [b.to_pylist() for b in clusters._merge(iter(_by_cell(summaries)))] == whole
+
+
+def test_clusters_do_not_depend_on_partitions(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/sva_dom_edu_wraps_head.parquet")
+    find = lambda x: sorted(map(tuple, clusters.find_members(x, "row_id", "own_run", "query", "core", "own_leaf").collect()))
+    one = find(df)
+    assert len(one) > 100 and find(df.repartition(7)) == one and find(df.orderBy(F.desc("row_id"))) == one
+
+
+def test_objects_of_a_kind_never_seen_are_grouped(spark):
+    """60 rows about one object, and pairs of names, whose kind and names occur nowhere else."""
+    df = spark.read.parquet("/root/testdata/sf0.001/sva_dom_edu_wraps_head.parquet").select("row_id", "own_run", "query", "core", "own_leaf")
+    rows = [(90000 + i, "r", "open the zorbl symposium website" + ["", "?", " please"][i % 3], "zorbl symposium" if i % 2 else None, None) for i in range(60)]
+    rows += [(91000, "r", "compare quabim with zendoro", None, None), (91001, "r", "please compare zendoro with quabim!", None, None), (91002, "r", "quabim to zendoro conversion", None, None), (91003, "r", "zendoro to quabim conversion", None, None)]
+    got = clusters.find_members(df.unionByName(spark.createDataFrame(rows, df.schema)), "row_id", "own_run", "query", "core", "own_leaf").where("row_id >= 90000")
+    assert {(r.first_row_id, r.row_id) for r in got.collect()} == {(90000, 90000 + i) for i in range(1, 60)} | {(91000, 91001)}
+
+
+def test_ward_merges_by_cost_and_never_across_the_cut():
+    x = [[1000, np.array([0.0, 0.0]) * 1000, 0.0], [1000, np.array([0.6, 0.0]) * 1000, 0.0], [1, np.array([0.0, 2.0]), 0.0], [1, np.array([0.1, 2.0]), 0.0]]
+    assert sorted(map(sorted, clusters.ward(x))) == [[0, 1], [2, 3]]
+    assert sorted(map(sorted, clusters.ward(x, 0.2))) == [[0], [1], [2, 3]]
+    assert clusters.ward([]) == [] and clusters.ward(x[:1]) == [[0]]
 
 
 def test_tree_features_add_up():
