@@ -22,6 +22,7 @@ feeds and counted from 1; a carriage return before one is no text.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -275,7 +276,8 @@ def label_code(lang: Column) -> Column:
 def fit_model(df: DataFrame, row_id: str, text: str, lang: str, folder: str = FOLDER) -> Model:
     """The model of a table, from at most ``FIT_DOCS`` of its labelled rows, chosen by a hash of id and text, and of ``FIT_CHARS`` characters in all."""
     rows = df.select(F.col(row_id).alias("i"), F.col(text).alias("t"), label_code(F.col(lang)).alias("l")).where(F.col("l").isin(*LANGUAGES) & (F.length("t") > 0) & (F.length("t") <= FIT_CHARS))
-    chosen = rows.orderBy(F.xxhash64("i", "t"), "i").limit(FIT_DOCS)
+    every = max(1, math.ceil(rows.count() / (0.9 * FIT_DOCS)))
+    chosen = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(every)) == 0).orderBy(F.xxhash64("i", "t"), "i").limit(FIT_DOCS)
     w = Window.orderBy(F.xxhash64("i", "t"), "i")  # over at most FIT_DOCS rows
     sample = chosen.withColumn("_n", F.sum(F.length("t")).over(w)).where(F.col("_n") <= FIT_CHARS).collect()
     return fit([(r.t, r.l) for r in sample], f"{folder}/{VOCABULARY}")
