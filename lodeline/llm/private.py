@@ -7,10 +7,11 @@ nothing; positions always refer to the text as stored.
 
 A replacement is ``[kind:pseudonym]``. Numbers and dates that are validated (a phone
 format, a check character, a calendar date) are permuted within their format by a keyed
-Feistel network, so equal values get equal pseudonyms in every document, whatever
-spacing or prefix they had, and a pseudonym of a citizen number is again a number with a
-real date and a right check character. Items without a number format (names, e-mail
-addresses, streets) get a keyed code of eleven characters of their one form.
+Feistel network and written with the separators and prefix they had, so equal values get
+equal digits in every document, however they were written; a pseudonym of a citizen number is
+again a number with a real date and a right check character, that of a mobile number again a
+mobile number. Items without a number format (names, e-mail addresses, streets) get a keyed
+code of eleven characters of their normal form (:func:`normal`).
 
 Null texts have no items and stay null, as does every other column; empty texts stay
 empty; long texts are read whole; repeated rows give repeated items.
@@ -64,8 +65,8 @@ PHONE = re.compile(
         )
     )
 )
-#: Words before a number that say it is no phone number.
-NO_PHONE = re.compile(r"(?:订单号?|单号|题号|货号|页码|商品号?|书号|isbn|order(?: no\.?| number)?|item(?: no\.?)?|pages?|part no\.?|sku|code|编号|ref\.?)[:：#\s]*$", re.I)
+#: Words before a number, whatever signs and spaces are between, that say it is no phone number; none is longer than ``LABEL`` characters.
+NO_PHONE, LABEL = re.compile(r"(?:订单号?|单号|题号|货号|页码|商品号?|书号|isbn|order(?: no\.?| number)?|item(?: no\.?)?|pages?|part no\.?|sku|code|编号|ref\.?)$", re.I), 16
 CITIZEN = re.compile(r"(?<![0-9A-Za-z])(\d{6})([ -]?)((?:18|19|20)\d{6})\2(\d{3}[0-9Xx])(?![0-9A-Za-z])")
 LETTERED = re.compile(r"(?<![0-9A-Za-z-])(\d{8})-?([A-Za-z])(?![0-9A-Za-z])")
 GROUPED = re.compile(r"(?<![0-9A-Za-z-])(\d{3})-(\d{2})-(\d{4})(?![0-9A-Za-z]|-[0-9])")
@@ -130,6 +131,12 @@ def _free(taken: list[tuple[int, int, str]], a: int, b: int) -> bool:
     return all(b <= x or a >= y for x, y, _ in taken)
 
 
+def _labelled(text: str, at: int) -> bool:
+    while at and (text[at - 1] in ":：#" or text[at - 1].isspace()):
+        at -= 1
+    return bool(NO_PHONE.search(text[max(0, at - LABEL) : at]))
+
+
 def items(text: str) -> list[tuple[int, int, str]]:
     """Items of a text in its one form: (start, end, kind), by start."""
     out: list[tuple[int, int, str]] = []
@@ -147,7 +154,7 @@ def items(text: str) -> list[tuple[int, int, str]]:
                     out.append((*m.span(), "id_number"))
             for pattern, kind in ((GROUPED, "id_number"), (PHONE, "phone")):
                 for m in pattern.finditer(text):
-                    if _free(out, *m.span()) and not NO_PHONE.search(text[max(0, m.start() - 16) : m.start()]):
+                    if _free(out, *m.span()) and not _labelled(text, m.start()):
                         out.append((*m.span(), kind))
         if "号" in text:
             for m in ADDRESS_ZH.finditer(text):
@@ -217,30 +224,77 @@ def permute_date(yyyymmdd: str, key: bytes) -> str:
     return (_FIRST + timedelta(n)).strftime("%Y%m%d")
 
 
+def _refill(value: str, new: str) -> str:
+    """``value`` with its letters and digits replaced in order; other signs stay."""
+    it = iter(new)
+    return "".join(next(it) if c.isalnum() else c for c in value)
+
+
+_SPELLED_AT, _SPELLED_DOT = re.compile(r"\s?[\[(（]\s?at\s?[\])）]\s?|\sat\s", re.I), re.compile(r"\s?[\[(（]\s?dot\s?[\])）]\s?|\sdot\s", re.I)
+_PREFIX = re.compile(r"(?:\+|00)(86|44|33|49|1(?=\D*(?:\d\D*){10}$))\D*")
+_ABROAD = re.compile(r"\+\d{2}\D*")
+
+
+def _phone(value: str) -> tuple[str, str, str]:
+    """(prefix as written, the rest as written, country) of a phone number; a number without a prefix is of the country of its format."""
+    if m := _PREFIX.match(value):
+        return value[: m.end()], value[m.end() :], m[1]
+    if m := _ABROAD.match(value):
+        return value[: m.end()], value[m.end() :], m[0][1:3]
+    digits = re.sub(r"\D", "", value)
+    if re.fullmatch(r"07\d{9}", digits):
+        zero = value.index("0") + 1
+        return value[:zero], value[zero:], "44"
+    return "", value, "86" if re.fullmatch(r"1[3-9]\d{9}|0\d{9,11}", digits) else "1" if len(digits) == 10 else ""
+
+
+def normal(value: str, kind: str) -> str:
+    """What equal items have in common, however they are written."""
+    if kind == "email":
+        return _SPELLED_DOT.sub(".", _SPELLED_AT.sub("@", value)).replace(" ", "").casefold()
+    if kind == "id_number":
+        return re.sub(r"[^0-9A-Za-z]", "", value).upper()
+    if kind == "phone":
+        _, rest, country = _phone(value)
+        return country + ":" + re.sub(r"\D", "", rest)
+    return re.sub(r"[\s,.]+", " ", value.casefold()).strip()
+
+
+def _permute_phone(country: str, digits: str, key: bytes) -> str:
+    """Other digits of the same format: mobile prefixes, area codes and leading zeros remain ones."""
+    key += country.encode()
+    if country == "86" and re.fullmatch(r"1[3-9]\d{9}", digits):
+        return "1" + str(feistel(int(digits[1:]) - 3 * 10**9, 7 * 10**9, key + b"m") + 3 * 10**9)
+    if country == "1" and re.fullmatch(r"(?:[2-9]\d\d){2}\d{4}", digits):
+        n = (int(digits[:3]) - 200) * 8_000_000 + (int(digits[3:6]) - 200) * 10_000 + int(digits[6:])
+        n, line = divmod(feistel(n, 800 * 8_000_000, key + b"n"), 10_000)
+        area, office = divmod(n, 800)
+        return f"{area + 200}{office + 200}{line:04d}"
+    if country == "44" and digits.startswith("7"):
+        return "7" + permute_digits(digits[1:], key + b"m")
+    zeros = len(digits) - len(digits.lstrip("0"))
+    rest = digits[zeros:]
+    if not rest:
+        return digits
+    low = 10 ** (len(rest) - 1)
+    return "0" * zeros + str(feistel(int(rest) - low, 9 * low, key + b"z%d" % len(rest)) + low)
+
+
 @lru_cache(maxsize=65536)
 def pseudonym(value: str, kind: str, key: bytes) -> str:
     """The pseudonym of an item in its one form."""
     if kind == "id_number":
         if m := CITIZEN.fullmatch(value):
             seventeen = permute_digits(m[1], key) + permute_date(m[3], key) + permute_digits(m[4][:3], key)
-            return seventeen + _CITIZEN_CHECKS[sum(int(a) * w for a, w in zip(seventeen, _CITIZEN_WEIGHTS)) % 11]
+            return _refill(value, seventeen + _CITIZEN_CHECKS[sum(int(a) * w for a, w in zip(seventeen, _CITIZEN_WEIGHTS)) % 11])
         if m := LETTERED.fullmatch(value):
             d = permute_digits(m[1], key)
-            return d + _LETTERS[int(d) % 23]
-        d = permute_digits(re.sub(r"\D", "", value), key)
-        return f"{d[:3]}-{d[3:5]}-{d[5:]}"
+            return _refill(value, d + _LETTERS[int(d) % 23])
+        return _refill(value, permute_digits(re.sub(r"\D", "", value), key))
     if kind == "phone":
-        country, digits = "", re.sub(r"[^\d+]", "", value)
-        if m := re.match(r"(?:\+|00)(86|44|33|49|1(?=\d{10}$))", digits):
-            country, digits = "+" + m[1], digits[m.end() :]
-        elif digits.startswith("+"):
-            country, digits = digits[:3], digits[3:]
-        elif re.fullmatch(r"1[3-9]\d{9}", digits):
-            country = "+86"
-        elif re.fullmatch(r"07\d{9}", digits):
-            country, digits = "+44", digits[1:]
-        return country + permute_digits(digits, key)
-    code = hashlib.blake2b(re.sub(r"\s+", " ", value.casefold()).encode(), key=key, digest_size=8, person=kind.encode()).digest()
+        prefix, rest, country = _phone(value)
+        return prefix + _refill(rest, _permute_phone(country, re.sub(r"\D", "", rest), key))
+    code = hashlib.blake2b(normal(value, kind).encode(), key=key, digest_size=8, person=kind.encode()).digest()
     n = feistel(int.from_bytes(code, "big") % 36**11, 36**11, key + kind.encode())
     out = ""
     for _ in range(11):
@@ -308,9 +362,44 @@ def find_private(df: DataFrame, row_id: str, text: str) -> DataFrame:
     return rows.mapInArrow(scan, T.StructType([T.StructField("row_id", df.schema[row_id].dataType), *ITEM_SCHEMA.fields]))
 
 
+def _secret(key: str) -> bytes:
+    if not key:
+        raise ValueError("pseudonyms need a key")
+    return hashlib.blake2b(key.encode(), digest_size=32).digest()
+
+
+def pseudonyms(df: DataFrame, row_id: str, text: str, key: str) -> DataFrame:
+    """One row per item: ``row_id``, kind, value (a keyed digest of its normal form) and pseudonym in its normal form."""
+    secret = _secret(key)
+    rows = df.select(df[row_id].alias("row_id"), df[text].alias("text")).where(F.col("text").isNotNull())
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], []]
+            for i, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                form, _ = fold_with_offsets(s)
+                for a, b, kind in items(form):
+                    value = hashlib.blake2b(normal(form[a:b], kind).encode(), key=secret, digest_size=16).hexdigest()
+                    for c, v in zip(out, (i, kind, value, normal(pseudonym(form[a:b], kind, secret), kind))):
+                        c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.schema.field(0).type), *[pa.array(c, pa.string()) for c in out[1:]]], names=["row_id", "kind", "value", "pseudonym"])
+
+    return rows.mapInArrow(scan, T.StructType([T.StructField("row_id", df.schema[row_id].dataType), *[T.StructField(c, T.StringType()) for c in ("kind", "value", "pseudonym")]]))
+
+
+def links(df: DataFrame, row_id: str, text: str, key: str) -> DataFrame:
+    """Per kind: items, different values, different pseudonyms, values in several rows, and whether each value has one pseudonym and each pseudonym one value."""
+    each = pseudonyms(df, row_id, text, key)
+    pairs = each.groupBy("kind", "value", "pseudonym").agg(F.count("*").alias("n"), F.min("row_id").alias("a"), F.max("row_id").alias("b"))
+    values = pairs.groupBy("kind", "value").agg(F.sum("n").alias("n"), F.count("*").alias("p"), F.min("a").alias("a"), F.max("b").alias("b"))
+    by_value = values.groupBy("kind").agg(F.sum("n").alias("n_items"), F.count("*").alias("n_values"), F.sum((F.col("a") < F.col("b")).cast("int")).alias("n_shared"), (F.max("p") == 1).alias("one_pseudonym"))
+    by_pseudonym = pairs.groupBy("kind", "pseudonym").agg(F.count("*").alias("v")).groupBy("kind").agg(F.count("*").alias("n_pseudonyms"), (F.max("v") == 1).alias("one_value"))
+    return by_value.join(by_pseudonym, "kind").select("kind", "n_items", "n_values", "n_pseudonyms", "n_shared", "one_pseudonym", "one_value")
+
+
 def redact(df: DataFrame, text: str, out: str, key: str) -> DataFrame:
-    """Add ``out``: ``text`` with every item replaced by ``[kind:pseudonym]``, under ``key`` (at most 32 bytes are used)."""
-    secret = hashlib.blake2b(key.encode(), digest_size=32).digest()
+    """Add ``out``: ``text`` with every item replaced by ``[kind:pseudonym]``, under ``key`` (of which 32 bytes are used; an empty one is refused)."""
+    secret = _secret(key)
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:

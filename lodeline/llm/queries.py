@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,12 @@ from . import clusters, consensus, copies, language, lookalike, mixing, neighbou
 
 MAIN = "sva_dom_edu_wraps_head"
 
-#: The key of the pseudonyms; in production it comes from a secret store.
-PSEUDONYM_KEY = "lodeline demonstration key"
+#: Setting of the session that holds the key of the pseudonyms; without it a key is drawn for the call, so pseudonyms link its rows alone.
+KEY_SETTING = "spark.lodeline.pseudonym.key"
+
+
+def _key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(32)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -21,7 +26,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_redacted(spark: SparkSession, d: str) -> DataFrame:
-    return private.redact(table(spark, d, MAIN).select("row_id", "query"), "query", "redacted", PSEUDONYM_KEY)
+    return private.redact(table(spark, d, MAIN).select("row_id", "query"), "query", "redacted", _key(spark))
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    """Per kind: whether equal values have equal pseudonyms over all rows, and different ones different."""
+    return private.links(table(spark, d, MAIN), "row_id", "query", _key(spark))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
