@@ -3,8 +3,11 @@
 A longest-match transducer over grapheme clusters, compiled once from rules over the
 Unicode database and a short list of look-alike letters. It maps widths, ligatures,
 radicals, spaces, invisible characters and look-alike letters and recomposes accents,
-in one pass. Letter case, accents, raised or circled digits and other character forms
-of Chinese are kept, as they are visible.
+in one pass. Letter case, accents, raised or circled digits, letters of mathematical styles
+and other character forms of Chinese are kept, as they are visible; so is a joiner between
+pictographs, as the joined sign reads otherwise. Of the Greek small letters that resemble a
+Latin one (``RESEMBLING``) alpha, rho, iota and upsilon are folded only between Latin letters, so
+a formula keeps them, and nu and omicron everywhere but beside other Greek letters.
 
 Null stays null; an empty text stays empty; texts of any length take linear time;
 applying the transducer twice equals applying it once.
@@ -27,11 +30,26 @@ LOOKALIKES = {
     "ѕ": "s", "у": "y", "х": "x", "ѵ": "v", "ԝ": "w", "ԍ": "g",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P",
     "Ѕ": "S", "Т": "T", "У": "Y", "Х": "X", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G", "Ү": "Y",
-    "ν": "v", "ο": "o", "ι": "i", "ρ": "p", "α": "a", "υ": "u",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P",
     "Τ": "T", "Υ": "Y", "Χ": "X", "ϲ": "c", "ϳ": "j",
     "ɡ": "g", "ɑ": "a", "ı": "i",
+    "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q",
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭵ": "i", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮐ": "G", "Ꮓ": "Z", "Ꮢ": "R", "Ꮪ": "S", "Ꮩ": "V", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K",
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L", "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
 }
+# Greek small letters that resemble a Latin one; the first two so closely that only a Greek word keeps them.
+RESEMBLING = {"ν": "v", "ο": "o", "ι": "i", "ρ": "p", "α": "a", "υ": "u"}
+_LATIN = "A-Za-z\u00c0-\u024f\u03bd\u03bf"
+_GREEK = "\u0370-\u03bc\u03be\u03c0-\u03ff\u1f00-\u1fff"
+_AMONG_LATIN = re.compile(f"(?<=[{_LATIN}])[ιραυ](?=[{_LATIN}])|(?<![{_GREEK}νο])([νο]+)(?![{_GREEK}νο])")
+_RESEMBLES = frozenset(RESEMBLING)
+_JOINER = "\u200d"
+_PICTURE = "[\u2600-\u27bf\U0001f000-\U0001faff]"
+
+
+def _among_latin(text: str) -> str:
+    """Greek letters of a form that stand among Latin ones; places stay."""
+    return text if _RESEMBLES.isdisjoint(text) else _AMONG_LATIN.sub(lambda x: "".join([RESEMBLING[c] for c in x.group()]), text)
 
 
 def _rule(c: str) -> str | None:
@@ -94,7 +112,8 @@ def _compiled() -> tuple[re.Pattern, frozenset[str], frozenset[str]]:
     # The longest match: a base with the marks after it (invisible characters between them
     # included), or else a single character that is mapped.
     inv = "".join(f"\\U{ord(c):08x}" for c, to in m.items() if not to)
-    cluster = re.compile(f"[^{mcls}{inv}][{inv}]*(?:[{mcls}][{inv}]*)+|[{cls}]|[{mcls}]+")
+    joined = f"(?:(?<={_PICTURE})|(?<={_PICTURE}\ufe0f)){_JOINER}(?={_PICTURE})"
+    cluster = re.compile(f"[^{mcls}{inv}][{inv}]*(?:[{mcls}][{inv}]*)+|{joined}|[{cls}]|[{mcls}]+")
     found = frozenset(map(chr, marks))
     return cluster, found, frozenset(m) | found
 
@@ -104,6 +123,16 @@ def _image(s: str) -> str:
     return unicodedata.normalize("NFC", "".join([m.get(c, c) for c in s]))
 
 
+def _of(x: re.Match) -> str:
+    s = x.group()
+    if s == _JOINER and _JOINED.match(x.string, x.start()):
+        return s
+    return _cluster(s)
+
+
+_JOINED = re.compile(f"(?:(?<={_PICTURE})|(?<={_PICTURE}\ufe0f)){_JOINER}(?={_PICTURE})")
+
+
 @lru_cache(maxsize=65536)
 def _cluster(s: str) -> str:
     return _image(s)
@@ -114,14 +143,9 @@ def fold(text: str | None) -> str | None:
     if text is None or text.isascii():
         return text
     cluster, marks, special = _compiled()
-    if special.isdisjoint(text):
-        return text
-    if marks.isdisjoint(text):  # every cluster is one character
-        m = mapping()
-        for c in special.intersection(text):
-            text = text.replace(c, m[c])
-        return text
-    return cluster.sub(lambda x: _cluster(x.group()), text)
+    if not special.isdisjoint(text):
+        text = cluster.sub(_of, text)
+    return _among_latin(text)
 
 
 def fold_with_offsets(text: str) -> tuple[str, list[int] | None]:
@@ -130,27 +154,22 @@ def fold_with_offsets(text: str) -> tuple[str, list[int] | None]:
         return text, None
     cluster, marks, special = _compiled()
     if special.isdisjoint(text):
-        return text, None
-    if marks.isdisjoint(text):
-        m, here = mapping(), special.intersection(text)
-        if all(len(m[c]) == 1 for c in here):
-            for c in here:
-                text = text.replace(c, m[c])
-            return text, None
+        return _among_latin(text), None
     out: list[str] = []
     at: list[int] = []
-    last = 0
+    last, moved = 0, False
     for x in cluster.finditer(text):
         a, b = x.span()
         out.append(text[last:a])
         at.extend(range(last, a))
-        to = _cluster(x.group())
+        to = _of(x)
         out.append(to)
         at.extend([a] * len(to))
+        moved = moved or b - a != 1 or len(to) != 1
         last = b
     out.append(text[last:])
     at.extend(range(last, len(text)))
-    return "".join(out), at
+    return _among_latin("".join(out)), at if moved else None
 
 
 @F.pandas_udf(T.StringType())

@@ -1,6 +1,7 @@
 """Private items, look-alike texts, tokens and languages against small fixtures with known answers."""
 
 import random
+import re
 import unicodedata
 
 import pytest
@@ -51,7 +52,12 @@ def test_citizen_number_needs_its_check_character():
 
 def test_pseudonyms_link_and_keep_the_format():
     a, b = private.pseudonym("+86 139 0000 2258", "phone", KEY), private.pseudonym("13900002258", "phone", KEY)
-    assert a == b != "+8613900002258"
+    assert a.startswith("+86 1") and a[4:].replace(" ", "") == b != "13900002258" and re.fullmatch(r"1[3-9]\d{9}", b)
+    a, b = private.pseudonym("(415) 555-1234", "phone", KEY), private.pseudonym("+1 415 555 1234", "phone", KEY)
+    assert re.fullmatch(r"\([2-9]\d\d\) [2-9]\d\d-\d{4}", a) and b.startswith("+1 ") and re.sub(r"\D", "", b) == "1" + re.sub(r"\D", "", a) != "14155551234"
+    assert re.sub(r"\D", "", private.pseudonym("+44 7700 900352", "phone", KEY))[2:] == private.pseudonym("07700900352", "phone", KEY)[1:]
+    assert re.fullmatch(r"0[1-9]\d{2}-\d{8}", private.pseudonym("0798-55502126", "phone", KEY))
+    assert len({private.pseudonym(x, "email", KEY) for x in ("ann@school.org", "Ann [at] school.org", "ann at school dot org", "ann（at）school[dot]org")}) == 1
     seventeen = "99794119901001061"
     number = seventeen + next(c for c in "0123456789X" if private.citizen_ok(seventeen + c))
     p = private.pseudonym(number, "id_number", KEY)
@@ -74,6 +80,20 @@ def test_redact_and_find_in_spark(spark):
     assert (1, None) in out and (2, "") in out and (None, "nothing") in out
     assert all("@" not in (o or "") for _, o in out) and any(o and o.startswith("联系[email:") and o.endswith("] 好") for _, o in out)
     assert private.find_private(df.limit(0), "row_id", "query").count() == 0
+    with pytest.raises(ValueError):
+        private.redact(df, "query", "out", "")
+
+
+def test_equal_values_are_linked_over_documents(spark):
+    rows = [(1, "mail ann@school.org now"), (2, "mail ann [at] school.org, tel (415) 555-1234"), (3, "call +1 415 555 1234 or 13900002258"), (4, "call +86 139 0000 2258"), (5, "mail bob@school.org")]
+    df = spark.createDataFrame(rows, "row_id long, query string")
+    got = {r.kind: tuple(r)[1:] for r in private.links(df, "row_id", "query", "secret").collect()}
+    assert got == {"email": (3, 2, 2, 1, True, True), "phone": (4, 2, 2, 2, True, True)}
+
+
+def test_numbers_with_a_label_are_no_phone_numbers():
+    assert kinds("order number:" + " " * 40 + "13900002258") == [] and kinds("订单号：# 13900002258") == []
+    assert [k for _, k, _ in kinds("reorder please 13900002258")] == ["phone"]
 
 
 def test_fold_reads_same():
@@ -82,6 +102,10 @@ def test_fold_reads_same():
         assert lookalike.fold(a) == lookalike.fold(b)
     for a, b in [("A", "a"), ("e", "é"), ("1", "¹"), ("3", "③"), ("国", "國"), ("a", "a!"), ("ab", "a b")]:
         assert lookalike.fold(a) != lookalike.fold(b)
+    for a, b in [("α粒子", "a粒子"), ("ρ=m/V", "p=m/V"), ("νοῦς", "voῦς"), ("👨\u200d👩\u200d👧", "👨👩👧"), ("𝐚𝐛", "ab")]:
+        assert lookalike.fold(a) != lookalike.fold(b)
+    for a, b in [("νersion ν2", "version v2"), ("hοmepage", "homepage"), ("cαt", "cat"), ("ꓐꓮ", "BA"), ("a\u200db", "ab"), ("☀️\u200d🌧", "☀\u200d🌧")]:
+        assert lookalike.fold(a) == lookalike.fold(b) and lookalike.fold(lookalike.fold(a)) == lookalike.fold(a)
     assert lookalike.fold(None) is None and lookalike.fold("") == ""
 
 
