@@ -8,14 +8,15 @@ grid. Snapshots are declared, so the grid is completed by exploding that list.
 from __future__ import annotations
 
 import math
-import random
 import zlib
 from itertools import combinations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats as S
+from ..session import running_before
 
 MIN_ROWS = 30
 
@@ -70,12 +71,13 @@ def coverage(g: DataFrame) -> DataFrame:
 def head(df: DataFrame, key: str, snap: str, weight: Column, ks: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Concentration of each snapshot on its first k keys: by rows and by weight. Ties go to the smaller key."""
     sums = df.where(F.col(key).isNotNull() & F.col(snap).isNotNull()).groupBy(F.col(snap).alias("snap"), F.col(key).alias("key")).agg(F.count("*").alias("n"), F.sum(F.coalesce(weight, F.lit(0.0))).alias("w"))
-    # only the largest count among keys beyond the head is needed, so rank with the top rows kept per snapshot
-    r = sums.withColumn("r", F.row_number().over(Window.partitionBy("snap").orderBy(F.col("n").desc(), F.col("key").asc())))
-    agg = [F.sum("n").alias("rows"), F.sum("w").alias("weight"), F.count("*").alias("keys"), F.sum(F.col("n") * F.col("n")).alias("_q")]
+    totals = sums.groupBy("snap").agg(F.sum("n").alias("rows"), F.sum("w").alias("weight"), F.count("*").alias("keys"), F.sum(F.col("n") * F.col("n")).alias("_q"))
+    # ranks are needed up to the largest k alone, so each task sends no more keys of a snapshot
+    r = sums.withColumn("r", F.row_number().over(Window.partitionBy("snap").orderBy(F.col("n").desc(), F.col("key").asc()))).where(F.col("r") <= max(ks))
+    agg = []
     for k in ks:
         agg += [F.sum(F.when(F.col("r") <= k, F.col("n")).otherwise(0)).alias(f"_n{k}"), F.sum(F.when(F.col("r") <= k, F.col("w")).otherwise(0.0)).alias(f"_w{k}")]
-    t = r.groupBy("snap").agg(*agg)
+    t = totals.join(r.groupBy("snap").agg(*agg), "snap")
     cols = [c for k in ks for c in (S.ratio(F.col(f"_n{k}").cast("double"), F.col("rows")).alias(f"rows_top{k}"), S.ratio(F.col(f"_w{k}"), F.col("weight")).alias(f"weight_top{k}"))]
     return t.select("snap", "rows", "keys", *cols, S.ratio(F.col("rows").cast("double") * F.col("rows"), F.col("_q")).alias("effective"))
 
@@ -139,45 +141,20 @@ def distance_bounds(counts_a: list[int], counts_b: list[int], tag: str, draws: i
 
     Works on the counts of classes, never on rows. The stream of random numbers depends on ``tag`` alone.
     """
-    rng = random.Random(zlib.crc32(tag.encode()))
-    na, nb = sum(counts_a), sum(counts_b)
-
-    def tvd(a: list[int], b: list[int]) -> float:
-        x, y = max(1, sum(a)), max(1, sum(b))
-        return 0.5 * sum(abs(i / x - j / y) for i, j in zip(a, b))
-
-    def draw(weights: list[int], n: int) -> list[int]:
-        out, left, mass = [], n, sum(weights)
-        for w in weights:
-            p = w / mass if mass else 0.0
-            k = _binomial(rng, left, min(1.0, p))
-            out.append(k)
-            left, mass = left - k, mass - w
-        return out
-
-    point = tvd(counts_a, counts_b)
-    boot = sorted(tvd(draw(counts_a, na), draw(counts_b, nb)) for _ in range(draws))
-    pool = [i + j for i, j in zip(counts_a, counts_b)]
-    null = sorted(tvd(draw(pool, na), draw(pool, nb)) for _ in range(nulls))
-    lo, hi, ceiling = boot[int(0.025 * (draws - 1))], boot[int(0.975 * (draws - 1))], null[int(0.95 * (nulls - 1))]
-    return {"tvd": point, "lo": lo, "hi": hi, "ceiling": ceiling, "exceeds_noise": lo > ceiling}
-
+    rng = np.random.default_rng(zlib.crc32(tag.encode()))
+    a, b = np.array(counts_a, np.int64), np.array(counts_b, np.int64)
 
-def _binomial(rng: random.Random, n: int, p: float) -> int:
-    if n <= 0 or p <= 0:
-        return 0
-    if p >= 1:
-        return n
-    if n * min(p, 1 - p) > 50:
-        return min(n, max(0, round(rng.gauss(n * p, math.sqrt(n * p * (1 - p))))))
-    return sum(rng.random() < p for _ in range(n)) if n < 5000 else min(n, _poisson(rng, n * p)) if p < 0.5 else n - min(n, _poisson(rng, n * (1 - p)))
+    def tvd(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return 0.5 * np.abs(x / np.maximum(1, x.sum(-1, keepdims=True)) - y / np.maximum(1, y.sum(-1, keepdims=True))).sum(-1)
 
+    def draw(weights: np.ndarray, n: int, times: int) -> np.ndarray:
+        return rng.multinomial(n, weights / max(1, weights.sum()), times) if weights.sum() else np.zeros((times, len(weights)), np.int64)
 
-def _poisson(rng: random.Random, mean: float) -> int:
-    limit, k, x = math.exp(-mean), 0, rng.random()
-    while x > limit:
-        k, x = k + 1, x * rng.random()
-    return k
+    point = float(tvd(a, b))
+    boot = np.sort(tvd(draw(a, a.sum(), draws), draw(b, b.sum(), draws)))
+    null = np.sort(tvd(draw(a + b, a.sum(), nulls), draw(a + b, b.sum(), nulls)))
+    lo, hi, ceiling = (float(x) for x in (boot[int(0.025 * (draws - 1))], boot[int(0.975 * (draws - 1))], null[int(0.95 * (nulls - 1))]))
+    return {"tvd": point, "lo": lo, "hi": hi, "ceiling": ceiling, "exceeds_noise": lo > ceiling}
 
 
 def signature(g: DataFrame, snapshots: list[str]) -> DataFrame:
@@ -244,8 +221,9 @@ def delta_concentration(df: DataFrame, cls: str, snap: str, text: str, weight: C
     """Is the movement of a class one text? Share of the first 1 and 5 texts and HHI of the absolute changes of weight."""
     w = F.coalesce(weight, F.lit(0.0))
     t = df.where(F.col(cls).isNotNull() & F.col(text).isNotNull() & F.col(snap).isin(a, b)).groupBy(F.col(cls).alias("cls"), F.col(text).alias("text")).agg(F.abs(F.sum(F.when(F.col(snap) == b, w).otherwise(-w))).alias("d"))
-    r = t.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.col("d").desc(), F.col("text").asc())))
-    s = r.groupBy("cls").agg(F.sum("d").alias("moved"), F.max(F.when(F.col("r") == 1, F.col("d"))).alias("_1"), F.sum(F.when(F.col("r") <= 5, F.col("d")).otherwise(0.0)).alias("_5"), F.sum(F.col("d") * F.col("d")).alias("_q"))
+    # each task sends the five largest changes of a class
+    r = t.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.col("d").desc(), F.col("text").asc()))).where("r <= 5")
+    s = t.groupBy("cls").agg(F.sum("d").alias("moved"), F.sum(F.col("d") * F.col("d")).alias("_q")).join(r.groupBy("cls").agg(F.max(F.when(F.col("r") == 1, F.col("d"))).alias("_1"), F.sum("d").alias("_5")), "cls")
     return s.select("cls", "moved", S.ratio(F.col("_1"), F.col("moved")).alias("top1"), S.ratio(F.col("_5"), F.col("moved")).alias("top5"), S.ratio(F.col("_q"), F.col("moved") * F.col("moved")).alias("hhi"))
 
 
@@ -319,8 +297,8 @@ def gini(df: DataFrame, group: str, weight: Column) -> DataFrame:
     Equal weights are counted first, so the ranked window holds distinct weights, not rows.
     """
     t = df.where(weight.isNotNull()).groupBy(F.col(group).alias("grp"), weight.alias("x")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy("grp").orderBy("x")
-    t = t.withColumn("before", F.coalesce(F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # ranks before+1 .. before+c sum to c * before + c (c + 1) / 2
-    t = t.groupBy("grp").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("x")).alias("s"), F.sum(F.col("x") * (F.col("c") * F.col("before") + F.col("c") * (F.col("c") + 1) / 2)).alias("q"))
+    t = running_before(t, ["grp", "x"], "c", "before")
+    # ranks before+1 .. before+c sum to c * before + c (c + 1) / 2; a group's own ranks begin at its least ``before``
+    t = t.groupBy("grp").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("x")).alias("s"), F.min("before").alias("_start"), F.sum(F.col("x") * (F.col("c") * F.col("before") + F.col("c") * (F.col("c") + 1) / 2)).alias("q"))
+    t = t.withColumn("q", F.col("q") - F.col("_start") * F.col("s"))
     return t.select("grp", "n", (2 * F.col("q") / (F.col("n") * F.col("s")) - (F.col("n") + 1) / F.col("n")).alias("gini"))

@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats as S
 from ..functions.text import grams
 from ..session import materialise
+from .sampling import hash_order as random_order
 
 
 def tfidf(df: DataFrame, unique: str, text: str, shortest: int = 1, longest: int = 3, min_df: int = 2, sublinear: bool = True) -> DataFrame:
@@ -28,13 +33,20 @@ def tfidf(df: DataFrame, unique: str, text: str, shortest: int = 1, longest: int
     return t.join(norm, "id").select(F.col("id").alias(unique), "term", (F.col("w") / F.col("_l")).alias("weight"))
 
 
+MAX_CLASSES = 10_000
+
+
 def cross_validated(df: DataFrame, vec: str, label: str, unique: str, grid: tuple[float, ...] = (0.0, 0.01, 0.1), folds: int = 3, seed: int = 0) -> tuple[DataFrame, float]:
     """Out-of-fold predictions (unique, label, predicted, confidence) of the best penalty of a logistic regression, and that penalty.
 
-    Folds are hashes of the id; classes with fewer rows than folds are dropped.
+    Folds are hashes of the id; classes with fewer rows than folds are dropped, more than ``MAX_CLASSES`` classes are refused.
     """
     sizes = df.where(F.col(label).isNotNull()).groupBy(label).count().where(F.col("count") >= folds).select(label)
-    rows = df.join(F.broadcast(sizes.limit(10_000)), label, "left_semi").where(F.col(vec).isNotNull())
+    sizes = sizes.limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    sizes = df.sparkSession.createDataFrame([(r[0],) for r in sizes], T.StructType([T.StructField(label, df.schema[label].dataType)]))
+    rows = df.join(F.broadcast(sizes), label, "left_semi").where(F.col(vec).isNotNull())
     rows = materialise(rows.select(F.col(unique).alias("id"), F.col(label).cast("string").alias("label"), F.col(vec).alias("v"), F.pmod(F.xxhash64(F.lit(seed), F.col(unique)), F.lit(folds)).alias("fold")))
     index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(rows)
     names = F.array(*[F.lit(x) for x in index.labels])
@@ -76,10 +88,13 @@ def examples(df: DataFrame, cls: str, snap: str, unique: str, weight: Column, qu
     """Per class and snapshot the ``per`` quotable rows of most weight, and as many at random from the rest."""
     r = df.where(F.col(cls).isNotNull() & F.col(snap).isNotNull() & F.coalesce(quotable, F.lit(False))).select(F.col(cls).alias("cls"), F.col(snap).alias("snap"), F.col(unique).alias("id"), F.coalesce(weight, F.lit(0.0)).alias("w"))
     w = Window.partitionBy("cls", "snap")
-    r = r.withColumn("_t", F.row_number().over(w.orderBy(F.col("w").desc(), F.col("id").asc())))
-    r = r.withColumn("kind", F.when(F.col("_t") <= per, "top").otherwise("random"))
-    r = r.withColumn("place", F.row_number().over(Window.partitionBy("cls", "snap", "kind").orderBy(F.when(F.col("kind") == "top", F.col("_t")).otherwise(F.xxhash64(F.lit(seed), F.col("id"))), "id")).cast("bigint"))
-    return r.where(F.col("place") <= per).select("cls", "snap", "kind", "place", "id")
+    place = lambda *o: F.row_number().over(w.orderBy(*o)).cast("bigint")  # noqa: E731 - each task sends only the first rows of a group
+    top = r.withColumn("place", place(F.col("w").desc(), F.col("id").asc())).where(F.col("place") <= per)
+    drawn = random_order(seed, "id")
+    # at most ``per`` of the first rows by hash are top rows themselves
+    some = r.withColumn("place", place(drawn, "id")).where(F.col("place") <= 2 * per).drop("place").join(top.select("cls", "snap", "id"), ["cls", "snap", "id"], "left_anti")
+    some = some.withColumn("place", place(drawn, "id")).where(F.col("place") <= per)
+    return top.withColumn("kind", F.lit("top")).unionByName(some.withColumn("kind", F.lit("random"))).select("cls", "snap", "kind", "place", "id")
 
 
 def weighted_quantile(df: DataFrame, group: str, value: Column, weight: Column, q: float) -> DataFrame:
@@ -91,27 +106,35 @@ def weighted_quantile(df: DataFrame, group: str, value: Column, weight: Column,
 
 
 def bootstrap_share(df: DataFrame, stratum: str, hit: Column, weight: Column, draws: int = 200, seed: int = 0) -> DataFrame:
-    """Share of weight that is hit, with a 95 % interval by a Poisson bootstrap of rows: all draws share one aggregate.
+    """Share of weight that is hit, with a 95 % interval by a Poisson bootstrap of rows: all draws share one pass.
 
-    Each row's number of repetitions in a draw comes from a hash, so no draw shuffles rows.
+    Each row's number of repetitions in a draw comes from a hash, so no draw shuffles rows. A
+    draw is taken within each stratum: the strata keep their weight, and their shares add up by it.
     """
-    rows = df.where(F.col(stratum).isNotNull() & weight.isNotNull()).select(F.col(stratum).alias("s"), F.coalesce(hit, F.lit(False)).cast("int").alias("h"), weight.alias("w"), F.xxhash64(*df.columns).alias("k"))
-
-    def times(b: int) -> Column:
-        u = F.pmod(F.xxhash64("k", F.lit(seed * 1_000_003 + b)), F.lit(1_000_000)) / 1_000_000.0
-        acc, c = 0.0, F.lit(0)
-        for n in range(6):
-            acc += math.exp(-1) / math.factorial(n)
-            c = F.when(u > acc, n + 1).otherwise(c)
-        return c
-
-    r = rows
-    agg = [F.sum("w").alias("w0"), F.sum(F.col("h") * F.col("w")).alias("h0")]
-    for b in range(1, draws + 1):
-        t = times(b)
-        agg += [F.sum(t * F.col("w")).alias(f"w{b}"), F.sum(t * F.col("h") * F.col("w")).alias(f"h{b}")]
-    one = r.agg(*agg)
-    v = one.select((F.col("h0") / F.col("w0")).alias("share"), F.array_sort(F.array(*[S.ratio(F.col(f"h{b}"), F.col(f"w{b}")) for b in range(1, draws + 1)])).alias("_d"))
+    rows = df.where(F.col(stratum).isNotNull() & weight.isNotNull()).select(F.col(stratum).cast("string").alias("s"), F.coalesce(hit, F.lit(False)).cast("double").alias("h"), weight.cast("double").alias("w"), F.xxhash64(*df.columns).alias("k"))
+    cdf = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(18)])  # what lies beyond is less than a step of a double
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            strata, at = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
+            h, w, k = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            sums = []
+            for b in range(draws + 1):
+                z = k.view(np.uint64) + np.uint64((seed * 1_000_003 + b) * 0x9E3779B97F4A7C15 % 2**64)
+                z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                u = ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2**53
+                x = w * np.searchsorted(cdf, u, "right") if b else w
+                sums.append((np.bincount(at, x, len(strata)), np.bincount(at, x * h, len(strata))))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(strata) * (draws + 1), pa.string()), pa.array(np.repeat(np.arange(draws + 1, dtype=np.int32), len(strata))), pa.array(np.concatenate([x for x, _ in sums])), pa.array(np.concatenate([y for _, y in sums]))],
+                names=["s", "b", "w", "h"],
+            )
+
+    each = rows.mapInArrow(run, "s string, b int, w double, h double").groupBy("s", "b").agg(F.sum("w").alias("w"), F.sum("h").alias("h"))
+    each = each.withColumn("own", F.max(F.when(F.col("b") == 0, F.col("w"))).over(Window.partitionBy("s")))  # draws + 1 rows a stratum
+    by = each.where("w > 0").groupBy("b").agg((F.sum(F.col("own") * F.col("h") / F.col("w")) / F.sum("own")).alias("share"))
+    v = by.agg(F.max(F.when(F.col("b") == 0, F.col("share"))).alias("share"), F.array_sort(F.collect_list(F.when(F.col("b") > 0, F.col("share")))).alias("_d"))
     return v.select("share", F.get("_d", F.lit(int(0.025 * (draws - 1)))).alias("lo"), F.get("_d", F.lit(int(0.975 * (draws - 1)))).alias("hi"))
 
 

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import join_aggregate, running_before
+
 from ..functions.stats import positive
 from ..functions.text import has_content, strip
 
@@ -59,11 +61,9 @@ def drop_duplicates(df: DataFrame, tier: str = "drop_duplicates") -> DataFrame:
     The first is found by an aggregate that is combined before its shuffle, so a text that
     fills a third of the rows is no hot window.
     """
-    firsts = df.groupBy("query").agg(F.min("row_ord").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and query is not null").select("_first", F.lit(True).alias("_keep"), F.col("query").alias("_q"))
-    repeated = firsts.select("_q", F.lit(True).alias("_rep"))
-    j = df.join(firsts.select("_first", "_keep"), df["row_ord"] == F.col("_first"), "left").join(repeated, df["query"] == F.col("_q"), "left")
-    hit = F.col("_rep").isNotNull() & F.col("_keep").isNull()
-    return _tiered(j, hit, tier).drop("_first", "_keep", "_q", "_rep")
+    firsts = df.groupBy("query").agg(F.min("row_ord").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and query is not null")
+    j = join_aggregate(df, firsts, ["query"], "_n", df.count(), "left")
+    return _tiered(j, F.col("_first").isNotNull() & (F.col("row_ord") != F.col("_first")), tier).select(*df.columns)
 
 
 def length_filter(df: DataFrame, least: int | None = None, most: int | None = None, tier: str = "length_filter", report: Report | None = None, max_share: float = MAX_DROP_SHARE) -> DataFrame:
@@ -113,8 +113,8 @@ def head_cut(df: DataFrame, n: int, tier: str = "head_cut") -> DataFrame:
     if with_weight < HEAD_COVERAGE * rows:
         raise Refused(f"head_cut: only {with_weight} of {rows} rows have a weight")
     counts = df.where("pv_raw is not null").groupBy("pv_raw").count()
-    above = Window.orderBy(F.col("pv_raw").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    bound = counts.withColumn("_before", F.coalesce(F.sum("count").over(above), F.lit(0))).where(F.col("_before") < n).agg(F.min("pv_raw")).head()[0]
+    below = running_before(counts, ["pv_raw"], "count", "_below")
+    bound = below.where(with_weight - F.col("_below") - F.col("count") < n).agg(F.min("pv_raw")).head()[0]
     return _tiered(df, F.col("pv_raw").isNull() | (F.col("pv_raw") < F.lit(bound)), tier)
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def hash_order(seed: int, *columns: str) -> Column:
-    return F.xxhash64(F.lit(seed), *[F.col(c) for c in columns])
+    """A seeded digest of the columns as text, of equal order on every engine."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in columns]))
 
 
 def subsample(df: DataFrame, k: int, unique: str, seed: int = 0) -> DataFrame:
@@ -48,7 +49,8 @@ def stratified(df: DataFrame, n: int, stratum: str, unique: str, seed: int = 0)
     quota = allocate(sizes, n)
     q = df.sparkSession.createDataFrame(list(quota.items()), f"{stratum} string, _q int")
     w = Window.partitionBy(stratum).orderBy(hash_order(seed, unique), unique)
-    return df.join(F.broadcast(q), stratum).withColumn("_r", F.row_number().over(w)).where("_r <= _q").drop("_r", "_q")
+    # no stratum has more seats than the largest, so each task sends no more rows of it
+    return df.join(F.broadcast(q), stratum).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(quota.values(), default=0)).where("_r <= _q").drop("_r", "_q")
 
 
 def per_group(df: DataFrame, group: str, n: int, unique: str, seed: int = 0) -> DataFrame:
@@ -59,7 +61,7 @@ def per_group(df: DataFrame, group: str, n: int, unique: str, seed: int = 0) ->
 
 def blind_matchups(df: DataFrame, unique: str, text: str, old: str, new: str, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """Rows whose labels differ with sides swapped at random, and the key apart from them."""
-    d = df.where(~F.col(old).eqNullSafe(F.col(new))).withColumn("_s", F.pmod(hash_order(seed, unique), F.lit(2)) == 0)
+    d = df.where(~F.col(old).eqNullSafe(F.col(new))).withColumn("_s", hash_order(seed, unique) < "8")
     pairs = d.select(unique, text, F.when(F.col("_s"), F.col(old)).otherwise(F.col(new)).alias("side_a"), F.when(F.col("_s"), F.col(new)).otherwise(F.col(old)).alias("side_b"))
     return pairs, d.select(unique, F.when(F.col("_s"), "b").otherwise("a").alias("challenger"))
 
@@ -72,7 +74,7 @@ def naming_cards(df: DataFrame, cluster: str, unique: str, distance: str, seed:
     r = r.withColumn("n1", F.row_number().over(w.orderBy(F.col("d").asc(), F.col("id").asc()))).withColumn("n2", F.row_number().over(w.orderBy(F.col("d").desc(), F.col("id").asc())))
     role = F.when(F.col("n1") <= near, "near").when(F.col("n2") <= far, "far").otherwise("random")
     r = r.withColumn("role", role)
-    place = F.row_number().over(Window.partitionBy("cluster", "role").orderBy(F.when(F.col("role") == "near", F.col("n1")).when(F.col("role") == "far", F.col("n2")).otherwise(F.xxhash64(F.lit(seed), F.col("id"))), "id"))
+    place = F.row_number().over(Window.partitionBy("cluster", "role").orderBy(F.when(F.col("role") == "near", F.col("n1")).when(F.col("role") == "far", F.col("n2")).otherwise(hash_order(seed, "id")), "id"))
     return r.withColumn("place", place.cast("bigint")).where((F.col("role") != "random") | (F.col("place") <= random)).select("cluster", "role", "place", "id")
 
 
@@ -85,8 +87,7 @@ def middle_exemplar(df: DataFrame, group: str, unique: str) -> DataFrame:
 
 def select_cover(df: DataFrame, cell: str, stratum: str, unique: str, centrality: str, target: float = 0.8, most: int = 8) -> DataFrame:
     """One central row a stratum, in order of size, until ``target`` of the cell or ``most`` rows are reached."""
-    w = Window.partitionBy(cell, stratum).orderBy(F.col(centrality).desc(), F.col(unique).asc())
-    r = df.withColumn("_c", F.row_number().over(w)).groupBy(cell, stratum).agg(F.count("*").alias("n"), F.max(F.when(F.col("_c") == 1, F.col(unique))).alias("id"))
+    r = df.groupBy(cell, stratum).agg(F.count("*").alias("n"), F.min(F.struct(F.when(F.col(centrality).isNotNull(), 0).otherwise(1), -F.col(centrality), F.col(unique).alias("id")))["id"].alias("id"))
     o = Window.partitionBy(cell).orderBy(F.col("n").desc(), F.col(stratum).asc())
     r = r.withColumn("t", F.sum("n").over(Window.partitionBy(cell))).withColumn("before", F.coalesce(F.sum("n").over(o.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("place", F.row_number().over(o).cast("bigint"))
     return r.where((F.col("before") < target * F.col("t")) & (F.col("place") <= most)).select(F.col(cell).alias("cell"), F.col(stratum).alias("stratum"), "n", "id", "place")

@@ -154,18 +154,18 @@ def stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return P.stratified(table(spark, d, MAIN).select("row_id", "own_leaf"), 400, "own_leaf", "row_id")
 
 
-@query("deterministic_subsample")
+@query("deterministic_subsample", f"select row_id, query from {MAIN} order by md5('0:' || row_id), row_id limit 300")
 def deterministic_subsample(spark: SparkSession, d: str) -> DataFrame:
     return P.subsample(table(spark, d, MAIN).select("row_id", "query"), 300, "row_id")
 
 
-@query("blind_matchups")
+@query("blind_matchups", f"select row_id, query, case when md5('0:' || row_id) < '8' then u_ds else u_qw end side_a, case when md5('0:' || row_id) < '8' then u_qw else u_ds end side_b from {MAIN} where u_ds is distinct from u_qw")
 def blind_matchups(spark: SparkSession, d: str) -> DataFrame:
     pairs, _ = P.blind_matchups(table(spark, d, MAIN), "row_id", "query", "u_ds", "u_qw")
     return pairs
 
 
-@query("random_rows_per_cluster")
+@query("random_rows_per_cluster", f"with r as (select row_id, own_leaf, query, row_number() over (partition by own_leaf order by md5('0:' || row_id), row_id) place from {MAIN} where own_leaf is not null) select * from r where place <= 12")
 def random_rows_per_cluster(spark: SparkSession, d: str) -> DataFrame:
     return P.per_group(table(spark, d, MAIN).select("row_id", "own_leaf", "query"), "own_leaf", 12, "row_id")
 

@@ -32,9 +32,10 @@ def affix_mining_part(spark: SparkSession, d: str) -> DataFrame:
 
 @query("affixes_without_nested")
 def affixes_without_nested(spark: SparkSession, d: str) -> DataFrame:
-    """The greedy end of affix mining; the candidates are affixes of 60 texts or more, the best 5,000 by score."""
-    best = M.affixes(table(spark, d, MAIN), "query").orderBy(F.col("score").desc(), "affix").limit(5000)
-    rows = [(r.affix, r.n) for r in best.collect()]
+    """The greedy end of affix mining over all affixes of 60 texts or more; refused beyond 200,000 of them."""
+    rows = [(r.affix, r.n) for r in M.affixes(table(spark, d, MAIN), "query").orderBy(F.col("score").desc(), "affix").limit(200_001).collect()]
+    if len(rows) > 200_000:
+        raise ValueError("more than 200,000 affixes: raise the least number of texts")
     return spark.createDataFrame(M.drop_subsumed(rows), "affix string, n bigint")
 
 

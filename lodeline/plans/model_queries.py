@@ -34,10 +34,19 @@ def class_confidence(spark: SparkSession, d: str) -> DataFrame:
 with r as (select own_leaf cls, own_run snap, row_id id, row_number() over (partition by own_leaf, own_run order by coalesce({W}, 0) desc, row_id) place from {MAIN} where own_leaf is not null and own_run is not null and not regexp_matches(query, '@|[0-9]{{6}}'))
 select cls, snap, 'top' kind, place, id from r where place <= 3""")
 def quotable_examples_top(spark: SparkSession, d: str) -> DataFrame:
+    """The first rows by weight; the random ones are in quotable_examples_random."""
     e = M.examples(table(spark, d, MAIN), "own_leaf", "own_run", "row_id", positive(F.col("pv")), ~F.col("query").rlike("@|[0-9]{6}"))
     return e.where("kind = 'top'")
 
 
+@query("quotable_examples_random", f"""
+with r as (select own_leaf cls, own_run snap, row_id id, row_number() over (partition by own_leaf, own_run order by coalesce({W}, 0) desc, row_id) t from {MAIN} where own_leaf is not null and own_run is not null and not regexp_matches(query, '@|[0-9]{{6}}')),
+x as (select *, row_number() over (partition by cls, snap order by md5('0:' || id), id) place from r where t > 3) select cls, snap, 'random' kind, place, id from x where place <= 3""")
+def quotable_examples_random(spark: SparkSession, d: str) -> DataFrame:
+    e = M.examples(table(spark, d, MAIN), "own_leaf", "own_run", "row_id", positive(F.col("pv")), ~F.col("query").rlike("@|[0-9]{6}"))
+    return e.where("kind = 'random'")
+
+
 @query("weighted_median_length", f"""
 with t as (select own_run grp, length(query) x, sum({W}) w from {MAIN} where query is not null and {W} is not null group by all), r as (select *, sum(w) over (partition by grp order by x rows unbounded preceding) run, sum(w) over (partition by grp) a from t)
 select grp, min(x) quantile from r where run >= 0.5 * a group by grp""")

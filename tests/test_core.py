@@ -296,3 +296,61 @@ def test_model_queries_run_with_the_settings_of_the_operators(spark, monkeypatch
     q["bootstrap_weight_share"](spark, SMALL)
     assert "grid" not in seen["grid"] and "draws" not in seen["draws"]
     assert {r.k for r in q["algorithm_battery"](spark, SMALL).collect()} == {15, 20, 30}
+
+
+def test_running_sums_span_partitions_and_groups(spark):
+    """One value holds a third of all rows; sums before equal those of a plain loop, and so does the Gini coefficient."""
+    from lodeline.session import running_before
+
+    rows = [(i % 5, 0 if i % 3 == 0 else i % 97, 1 + i % 4) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g int, x int, c long").groupBy("g", "x").agg(F.sum("c").alias("c"))
+    run = 0
+    for r in sorted(running_before(df, ["g", "x"], "c", "before").collect()):
+        assert r.before == run
+        run += r.c
+    weights = [float(x) for g, x, _ in rows if g == 2 and x > 0]
+    n, got = len(weights), {r.grp: r for r in compare.gini(spark.createDataFrame(rows, "g int, x int, c long"), "g", F.when(F.col("x") > 0, F.col("x").cast("double"))).collect()}
+    want = 2 * sum((i + 1) * w for i, w in enumerate(sorted(weights))) / (n * sum(weights)) - (n + 1) / n
+    assert abs(got[2].gini - want) < 1e-9
+
+
+def test_duplicates_of_a_hot_text(spark):
+    rows = [(i, "hot" if i % 3 == 0 else f"text {i % 1500}" if i % 50 else None, "user") for i in range(6000)]
+    df = spark.createDataFrame(rows, "row_ord long, query string, tier string").repartition(6)
+    out = {r.row_ord: r.tier for r in prepare.drop_duplicates(df).collect()}
+    seen = set()
+    for i, q, _ in rows:
+        assert out[i] == ("drop_duplicates" if q is not None and q in seen else "user")
+        seen.add(q)
+
+
+def test_expected_information_is_exact_at_any_size():
+    """Equal to the plain sum over all counts, above and below the size at which it used to be left out."""
+    import math
+
+    from lodeline.operators.labels import _expected_mi
+
+    def plain(ra, rb, n):
+        lg, total = math.lgamma, 0.0
+        for a in ra:
+            for b in rb:
+                for x in range(max(1, a + b - n), min(a, b) + 1):
+                    p = lg(a + 1) + lg(b + 1) + lg(n - a + 1) + lg(n - b + 1) - lg(n + 1) - lg(x + 1) - lg(a - x + 1) - lg(b - x + 1) - lg(n - a - b + x + 1)
+                    total += math.exp(p) * x / n * math.log(n * x / (a * b))
+        return total
+
+    for ra, rb in (([3, 5, 8], [6, 10]), ([500, 300, 200], [10, 990]), ([1] * 7, [2, 5])):
+        assert abs(_expected_mi(ra, rb, sum(ra)) - plain(ra, rb, sum(ra))) < 1e-9
+    assert 0 <= _expected_mi([10**9, 2 * 10**9], [10**9, 2 * 10**9], 3 * 10**9) < 1e-8
+    assert _expected_mi([2] * 600, [2] * 600, 1200) > 1
+
+
+def test_bootstrap_keeps_the_strata(spark):
+    """Two strata of very different weight, each all or nothing: no draw can move the share."""
+    df = spark.createDataFrame([(i, "a" if i < 50 else "b", 10.0 if i < 50 else 1.0) for i in range(500)], "id long, s string, w double")
+    from lodeline.operators import model
+
+    r = model.bootstrap_share(df, "s", F.col("s") == "a", F.col("w"), draws=50).head()
+    assert abs(r.share - 500 / 950) < 1e-9 and abs(r.lo - r.share) < 1e-9 and abs(r.hi - r.share) < 1e-9
+    r = model.bootstrap_share(df, "s", F.col("id") % 2 == 0, F.col("w"), draws=200).head()
+    assert r.lo < r.share < r.hi and r.hi - r.lo < 0.3
