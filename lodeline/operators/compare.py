@@ -129,7 +129,7 @@ def pairwise_distance(g: DataFrame, snapshots: list[str]) -> DataFrame:
             (F.sum(F.abs(F.col("p_a") - F.col("p_b"))) / 2).alias("tvd"),
             (F.sum(F.abs(F.col("wp_a") - F.col("wp_b"))) / 2).alias("tvd_weight"),
             F.sqrt(F.sum("chi") / F.max(n)).alias("v"),
-            F.corr("ra", "rb").alias("rho"),
+            S.ratio(F.covar_pop("ra", "rb"), F.stddev_pop("ra") * F.stddev_pop("rb")).alias("rho"),
             F.sum(((F.col("ta") <= 5) & (F.col("tb") <= 5)).cast("int")).cast("bigint").alias("top5_common"),
             F.max(((F.col("ta") == 1) & (F.col("tb") == 1)).cast("int")).cast("boolean").alias("same_leader"),
         )

@@ -35,7 +35,7 @@ def r6(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _load() -> None:
-    from . import compare_queries, crosswalk_queries, label_queries, mine_queries, model_queries, prepare_queries, relational_queries, vector_queries  # noqa: F401
+    from . import compare_queries, crosswalk_queries, guard_queries, label_queries, mine_queries, model_queries, prepare_queries, relational_queries, serve_queries, vector_queries  # noqa: F401
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
