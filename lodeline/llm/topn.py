@@ -2,8 +2,9 @@
 
 Rows are hash-partitioned by group and a salt, sorted within partitions, and streamed as
 Arrow batches; at most N rows of a group and salt leave. A second, small round without
-the salt settles the places. A group of any size, even a third of all rows, is spread over
-``SALTS`` tasks in the first round and has at most ``N * SALTS`` rows in the second.
+the salt settles the places. There are as many salts as the session has shuffle partitions
+(``SALTS`` at least), so a group of any size, even a third of all rows, is spread over
+all tasks in the first round and has at most N rows a salt in the second.
 
 Ties are settled by the order given, so it should end in a unique column; rows that are
 equal in all its columns are ranked in an arbitrary but single order. A null group value
@@ -65,10 +66,11 @@ def top_n(df: DataFrame, groups: list[str], order: list[Column], n: int, keep: l
     ``order`` may use any column of ``groups`` and ``keep``. The salt is a hash of the
     kept columns, so that a rerun of a lost task places every row as before.
     """
+    salts = max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     g = [f"_g{i}" for i in range(len(groups))]
     rows = df.select(*[F.col(c).alias(a) for c, a in zip(groups, g)], *keep)
     kept = T.StructType(rows.schema.fields)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*keep), F.lit(SALTS)).cast("int")).select(*g, "_salt", *keep)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*keep), F.lit(salts)).cast("int")).select(*g, "_salt", *keep)
     one = salted.repartition(*g, "_salt").sortWithinPartitions(*g, "_salt", *order)
     one = one.mapInArrow(_first_n(len(g) + 1, n, False), one.schema).drop("_salt")
     two = one.repartition(*g).sortWithinPartitions(*g, *order)
