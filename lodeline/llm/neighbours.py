@@ -84,6 +84,11 @@ def _grids(dim: int, side: int, tables: int) -> list[tuple[np.ndarray, list[np.n
 _ENTRY = T.StructType([T.StructField("list", T.LongType()), T.StructField("value", T.FloatType()), T.StructField("id", T.LongType())])
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * rows.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
 
@@ -239,13 +244,13 @@ def _directions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        raw = np.stack([np.asarray(v, np.float32) for v in batch.column(1).to_pylist()]) + np.float32(0)
+        raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1) + np.float32(0)  # all are of one length
         steps = np.rint(_unit(raw) * 2**17).astype(np.int64).view(np.uint64)
         odd = np.random.default_rng(SEED).integers(1, 2**63, raw.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         mixed = steps * odd
         mixed ^= mixed >> np.uint64(31)
         same = (mixed * odd[::-1]).sum(1, dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), pa.array([v.tobytes() for v in raw], pa.binary())], names=["id", "same", "vec"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(same), _binary(raw)], names=["id", "same", "vec"])
 
 
 def _lead(stand: int):
