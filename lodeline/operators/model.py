@@ -17,20 +17,33 @@ from pyspark.sql import types as T
 
 from ..functions import stats as S
 from ..functions.text import grams
-from ..session import materialise
+from ..session import HOT_KEYS, join_aggregate, materialise
 from .sampling import hash_order as random_order
 
 
 def tfidf(df: DataFrame, unique: str, text: str, shortest: int = 1, longest: int = 3, min_df: int = 2, sublinear: bool = True) -> DataFrame:
-    """unique, term, weight: character grams with smoothed idf, rows of length 1."""
-    rows = df.where(F.col(text).isNotNull()).select(F.col(unique).alias("id"), F.explode(grams(F.lower(text), shortest, longest)).alias("term"))
-    tf = rows.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    n = df.where(F.col(text).isNotNull()).agg(F.count("*").alias("_n"))
-    idf = tf.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).join(F.broadcast(n), F.lit(True)).select("term", (F.ln((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    """unique, term, weight: character grams with smoothed idf, rows of length 1.
+
+    Grams are counted as runs of a sorted array in the row of their id, not by a hash table of ids
+    and grams, which would hold the whole result; the texts of an id therefore meet in one row.
+    Up to ``HOT_KEYS`` terms are broadcast and the rows stay where they are; more are joined without
+    a hot task. Rows without an id count for the idf, as one.
+    """
+    rows = df.where(F.col(text).isNotNull()).select(F.col(unique).alias("id"), F.lower(text).alias("text"))
+    each = rows.where("id is not null").groupBy("id").agg(F.collect_list("text").alias("texts"))
+    g = each.select("id", F.sort_array(F.flatten(F.transform("texts", lambda x: grams(x, shortest, longest)))).alias("g")).where(F.size("g") > 0)
+    g = g.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: (i == 0) | (F.get("g", i) != F.get("g", i - 1))))
+    runs = F.transform("at", lambda i, k: F.struct(F.get("g", i).alias("term"), (F.coalesce(F.get("at", k + 1), F.size("g")) - i).alias("tf")))
+    tf = g.select("id", F.inline(runs))
+    lost = rows.where("id is null").select(F.explode(grams(F.col("text"), shortest, longest)).alias("term")).distinct()
+    dfs = tf.select("term").unionByName(lost).groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
+    idf = materialise(dfs.select("term", "df", (F.ln((1 + F.lit(rows.count())) / (1 + F.col("df"))) + 1).alias("idf")))
+    terms, total = idf.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).head()
     w = (1 + F.ln("tf") if sublinear else F.col("tf")) * F.col("idf")
-    t = tf.join(idf, "term").select("id", "term", w.alias("w"))
+    t = (tf.join(F.broadcast(idf), "term") if terms <= HOT_KEYS else join_aggregate(tf, idf, ["term"], "df", total)).select("id", "term", w.alias("w"))
+    t = t if terms <= HOT_KEYS else materialise(t)
     norm = t.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_l"))
-    return t.join(norm, "id").select(F.col("id").alias(unique), "term", (F.col("w") / F.col("_l")).alias("weight"))
+    return t.join(norm.hint("shuffle_hash"), "id").select(F.col("id").alias(unique), "term", (F.col("w") / F.col("_l")).alias("weight"))
 
 
 MAX_CLASSES = 10_000

@@ -3,6 +3,7 @@
 import glob
 import math
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -354,3 +355,25 @@ def test_bootstrap_keeps_the_strata(spark):
     assert abs(r.share - 500 / 950) < 1e-9 and abs(r.lo - r.share) < 1e-9 and abs(r.hi - r.share) < 1e-9
     r = model.bootstrap_share(df, "s", F.col("id") % 2 == 0, F.col("w"), draws=200).head()
     assert r.lo < r.share < r.hi and r.hi - r.lo < 0.3
+
+
+@pytest.mark.parametrize("hot", [20_000, 0])
+def test_tfidf_keeps_grams_in_their_row(spark, monkeypatch, hot):
+    """No table or shuffle of ids and grams; texts of one id add up, and rows without an id count once a term."""
+    from lodeline.operators import model
+
+    monkeypatch.setattr(model, "HOT_KEYS", hot, raising=False)
+    rows = [(1, "Abab"), (1, "ab"), (2, "b𝒳b"), (3, ""), (4, None), (None, "ab"), (None, "ab"), (5, "a" * 300), (6, "q")]
+    got = model.tfidf(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    tf, lost = {}, set()
+    for i, t in rows:
+        for g in [t.lower()[j : j + k] for k in (1, 2, 3) for j in range(len(t) - k + 1)] if t else []:
+            if i is None:
+                lost.add(g)
+            else:
+                tf[i, g] = tf.get((i, g), 0) + 1
+    df = {g: sum(h == g for _, h in tf) + (g in lost) for _, g in tf}
+    w = {(i, g): (1 + math.log(n)) * (math.log(9 / (1 + df[g])) + 1) for (i, g), n in tf.items() if df[g] >= 2}
+    want = {(i, g): x / math.sqrt(sum(y * y for (j, _), y in w.items() if j == i)) for (i, g), x in w.items()}
+    assert {(r.id, r.term): pytest.approx(r.weight) for r in got.collect()} == want and len(want) == 5
+    assert not re.search(r"keys=\[id#\d+L?, term#", got._jdf.queryExecution().executedPlan().toString())
