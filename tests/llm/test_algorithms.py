@@ -267,6 +267,27 @@ def test_objects_of_a_kind_never_seen_are_grouped(spark):
     assert {(r.first_row_id, r.row_id) for r in got.collect()} == {(90000, 90000 + i) for i in range(1, 60)} | {(91000, 91001)}
 
 
+def test_every_query_that_names_something_is_read(spark):
+    """No label or head noun leads to these objects: another script, frequent names, a bare name, a name with a digit; fragments stay out."""
+    df = spark.read.parquet("/root/testdata/sf0.01/sva_dom_edu_wraps_head.parquet").select("row_id", "own_run", "query", "core", "own_leaf")
+    same = [["请打开佐布研讨会的官网", "请打开佐布研讨会的官网！"], ["open the zorbl symposium website" + x for x in ["", "?", " please"] * 20], ["quabimium", "Quabimium?"], ["download zendoro7 answers", "download zendoro7 answers?"]]
+    rows, want = [], set()
+    for k, texts in enumerate(same):
+        first = 900_000 + 100 * k
+        rows += [(first + i, "r", t, None, "official pages") for i, t in enumerate(texts)]
+        want |= {(first, first + i) for i in range(1, len(texts))}
+    rows += [(990_000 + i, "r", t, None, None) for i, t in enumerate(["继续", "第三单元", "abc", "ok", "page 9", "more", "7", "..."] * 2)]
+    got = clusters.find_members(df.unionByName(spark.createDataFrame(rows, df.schema)), "row_id", "own_run", "query", "core", "own_leaf").where("row_id >= 900000")
+    assert {(r.first_row_id, r.row_id) for r in got.collect()} == want
+
+
+def test_a_table_without_labels_is_read(spark):
+    rows = [(i, "r", ["download the {} reader", "where can i buy the {} reader"][i % 2].format(f"zorb{'abcdefghij'[i // 2 % 10]}lin"), None, None) for i in range(200)] + [(900, "r", "ok", None, None), (901, "r", "ok", None, None)]
+    df = spark.createDataFrame(rows, "row_id long, own_run string, query string, core string, own_leaf string")
+    got = {r.row_id: r.first_row_id for r in clusters.find_members(df, "row_id", "own_run", "query", "core", "own_leaf").collect()}
+    assert got == {i: i % 20 for i in range(20, 200)}
+
+
 def test_ward_merges_by_cost_and_never_across_the_cut():
     x = [[1000, np.array([0.0, 0.0]) * 1000, 0.0], [1000, np.array([0.6, 0.0]) * 1000, 0.0], [1, np.array([0.0, 2.0]), 0.0], [1, np.array([0.1, 2.0]), 0.0]]
     assert sorted(map(sorted, clusters.ward(x))) == [[0, 1], [2, 3]]
